@@ -30,7 +30,9 @@ from sylva.llm.common import map_arrow, pick
 #: Entries of the tables of words and fragments; a full table starts anew.
 TABLE = 400_000
 LONG = 48
-_SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
+# The code points with the Unicode property White_Space.
+_WHITE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SPACES = regex.compile("[" + "".join(map(chr, _WHITE)) + "]+")
 
 
 def byte_symbols() -> dict[int, str]:
