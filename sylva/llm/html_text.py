@@ -38,16 +38,18 @@ NEVER = frozenset(
 CONTAINER = frozenset("article main section div td body blockquote".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-social comment comments commentlist consent cookie "
-    "cookies disqus discussion feedback footer foot form gdpr header login masthead menu menus modal nav navbar navigation navi newsletter "
-    "notice notices notification overlay pager pagination paywall popup promo promoted promotion recommend recommendations recommended related "
-    "replies reply respond search share sharing shares sidebar sidenav signup skip skyscraper social sponsor sponsored subscribe subscription "
-    "tagcloud tags toolbar topbar warning widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising alert announcement aside banner breadcrumb breadcrumbs comment comments commentlist consent "
+    "cookie cookies copyright disclaimer discussion disqus feedback foot footer form gdpr header legal login masthead menu menus modal nav navbar "
+    "navigation navi newsletter notice notices notification overlay pager pagination paywall popup privacy promo promoted promotion rail recommend "
+    "recommendations recommended related replies reply respond search share sharing shares sidebar sidenav signup skip skyscraper social sponsor "
+    "sponsored subscribe subscription tagcloud tags toc toolbar topbar warning widget widgets".split()
 )
+#: Words that say what else is on the page, or is not: ``has-sidebar`` is no sidebar.
+ABOUT = frozenset("has with no without".split())
 CLOSES_P = BLOCK - frozenset("body html head script style template title".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_WORDS = re.compile(r"[a-z0-9]+(?:-social)?")
+_WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WHITE = re.compile(r"\s+")
 #: Smoothing: kernel radius in lines and its deviation.
@@ -59,7 +61,7 @@ THRESHOLD = 0.5
 def _is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in NEVER:
         return True
-    if tag in ("html", "body", "article", "main") and not any(k in ("class", "id", "role") for k, _ in attrs):
+    if tag in ("html", "body", "article", "main") and not any(k in ("class", "id", "role", "hidden", "style", "aria-label") for k, _ in attrs):
         return False
     for k, v in attrs:
         if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
@@ -68,9 +70,10 @@ def _is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             continue
         if k == "role" and v.lower() in ROLES:
             return True
-        if k in ("class", "id") and tag not in ("html", "body", "main"):
+        if k in ("class", "id", "aria-label") and tag not in ("html", "body", "main"):
             for name in v.split():
-                if any(w in NOISE for w in _WORDS.findall(_CAMEL.sub(" ", name).lower())):
+                words = _WORDS.findall(_CAMEL.sub(" ", name).lower())
+                if not NOISE.isdisjoint(words) and ABOUT.isdisjoint(words):
                     return True
     return False
 
