@@ -30,6 +30,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*found)
 
 
+def pick_with_text(df: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, int]:
+    """The kept columns and the text, which is sent once, with the text's place."""
+    if text in keep:
+        return pick(df, *keep), keep.index(text)
+    return pick(df, *keep, text).toDF(*keep, "text" if "text" not in keep else "__text"), len(keep)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import groups_of, map_arrow, pick, utf8
+from sylva.llm.common import groups_of, map_arrow, pick, pick_with_text, utf8
 from sylva.llm.shingles import fold, word_hashes
 
 CUT = 0.7
@@ -156,14 +156,14 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str
 
 def score(docs: DataFrame, model: QualityModel, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, ``score`` and ``predicted`` of each row."""
-    rows = pick(docs, *keep, text).toDF(*keep, "text")
+    rows, at = pick_with_text(docs, keep, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     n = len(keep)
 
     def run(batches):
         for batch in batches:
-            s = shared.value.score(features(utf8(batch.column(n))))
+            s = shared.value.score(features(utf8(batch.column(at))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32))], [*keep, "score", "predicted"])
 
-    fixed = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    fixed = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:n])
     return map_arrow(rows, run, f"{fixed}score double, predicted int")
