@@ -1,5 +1,688 @@
-"""The registered queries on the reference tables and the SQL they are checked against."""
+"""The registered queries on views of the reference tables, and the SQL they are checked against.
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+Doubles are rounded to six places on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sylva.operators import clades as C
+from sylva.operators import comparative as K
+from sylva.operators import distances as D
+from sylva.operators import inference as I
+from sylva.operators import sequences as S
+from sylva.operators import spatial as P
+from sylva.operators import time_tables as TT
+from sylva.operators import tree_tables as T
+from sylva.plans import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "tree_clades"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+HEAP = V.with_views("heap", "closure", tree="heap")
+CLOCK = V.with_views("clock", "closure", tree="clock")
+TIPS = "tips AS (SELECT node FROM {t} WHERE node NOT IN (SELECT parent FROM {t} WHERE parent IS NOT NULL))"
+HEAP_TIPS = HEAP.rstrip() + ",\n" + TIPS.format(t="heap") + "\n"
+CLOCK_TIPS = CLOCK.rstrip() + ",\n" + TIPS.format(t="clock") + "\n"
+ROOTS = ", paths AS (SELECT node, max(hops) AS level, max_by(dist, hops) AS depth FROM closure GROUP BY node)\n"
+
+
+# -- trees ----------------------------------------------------------------------------------------------
+@query(
+    HEAP_TIPS.rstrip()
+    + ROOTS
+    + """, kids AS (SELECT parent, count(*) AS k, count(*) FILTER (node IN (SELECT node FROM tips)) AS t FROM heap WHERE parent IS NOT NULL GROUP BY parent),
+below AS (SELECT c.ancestor AS node, count(*) AS n FROM closure c JOIN tips USING (node) GROUP BY c.ancestor)
+SELECT p.node, n AS n_tips, CAST(level AS BIGINT) AS level, round(depth, 6) AS depth, k = 2 AND t = 2 AS is_cherry FROM paths p JOIN kids ON kids.parent = p.node JOIN below ON below.node = p.node"""
+)
+def tree_clades(spark, sf_dir):
+    nodes = V.heap_tree(spark, sf_dir)
+    reach = T.closure(nodes)
+    own = T.with_children(nodes)
+    kids = own.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("k"), F.count_if("is_tip").alias("t"))
+    out = T.root_paths(nodes, reach).join(kids, "node").join(T.node_depth(nodes, reach=reach).select("node", F.col("depth").alias("n_tips")), "node")
+    return out.select("node", "n_tips", F.col("level").cast("long").alias("level"), F.round("depth", 6).alias("depth"), ((F.col("k") == 2) & (F.col("t") == 2)).alias("is_cherry"))
+
+
+@query(HEAP_TIPS + "SELECT c.ancestor AS node, count(*) AS tips, CAST(max(hops) + 1 AS BIGINT) AS levels FROM closure c JOIN tips USING (node) GROUP BY c.ancestor")
+def node_depth(spark, sf_dir):
+    nodes = V.heap_tree(spark, sf_dir)
+    reach = T.closure(nodes)
+    a, b = T.node_depth(nodes, 1, reach), T.node_depth(nodes, 2, reach)
+    return a.select("node", F.col("depth").alias("tips")).join(b.select("node", F.col("depth").alias("levels")), "node")
+
+
+@query(HEAP + "SELECT node, round(max_by(dist, hops), 6) AS depth FROM closure GROUP BY node")
+def node_depth_edgelength(spark, sf_dir):
+    return T.root_paths(V.heap_tree(spark, sf_dir)).select("node", F.round("depth", 6).alias("depth"))
+
+
+@query(
+    V.with_views("heap")
+    + """, d AS (SELECT node, (SELECT count(*) FROM heap c WHERE c.parent = h.node) + CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS degree FROM heap h)
+SELECT degree, count(*) AS n FROM d GROUP BY degree"""
+)
+def degree(spark, sf_dir):
+    return T.degree(V.heap_tree(spark, sf_dir)).select("degree", "n")
+
+
+@query(
+    V.with_views("heap")
+    + """SELECT count(*) FILTER (node NOT IN (SELECT parent FROM heap WHERE parent IS NOT NULL)) AS n_tip, count(*) FILTER (node IN (SELECT parent FROM heap WHERE parent IS NOT NULL)) AS n_node,
+count(parent) AS n_edge, round(avg(length), 6) AS mean_length, round(var_samp(length), 6) AS var_length, round(min(length), 6) AS min_length, round(quantile_cont(length, 0.25), 6) AS q1_length,
+round(quantile_cont(length, 0.5), 6) AS median_length, round(quantile_cont(length, 0.75), 6) AS q3_length, round(max(length), 6) AS max_length FROM heap"""
+)
+def tree_summary(spark, sf_dir):
+    out = T.tree_summary(V.heap_tree(spark, sf_dir)).drop("tree_id")
+    return r6(out, *[c for c in out.columns if c.endswith("length")])
+
+
+@query(
+    "WITH RECURSIVE "
+    + V.SQL["heap"]
+    + ", "
+    + V.SQL["clock"]
+    + """, both_trees AS (SELECT 1 AS tree_id, * FROM heap UNION ALL SELECT 2, * FROM clock),
+reach AS (SELECT tree_id, node, node AS ancestor, CAST(0 AS DOUBLE) AS dist FROM both_trees
+  UNION ALL SELECT c.tree_id, c.node, t.parent, c.dist + t.length FROM reach c JOIN both_trees t ON t.tree_id = c.tree_id AND t.node = c.ancestor WHERE t.parent IS NOT NULL),
+k AS (SELECT t.tree_id, t.node, t.parent, count(c.node) AS n FROM both_trees t LEFT JOIN both_trees c ON c.tree_id = t.tree_id AND c.parent = t.node GROUP BY ALL),
+d AS (SELECT r.tree_id, max(dist) AS depth FROM reach r JOIN k USING (tree_id, node) WHERE n = 0 GROUP BY r.tree_id, r.node),
+u AS (SELECT tree_id, (max(depth) - min(depth)) / max(depth) <= 1.5e-8 AS is_ultrametric FROM d GROUP BY tree_id)
+SELECT CAST(tree_id AS BIGINT) AS tree_id, max(n) FILTER (parent IS NULL) <= 2 AS is_rooted, bool_and(n IN (0, 2)) AS is_binary, bool_or(n = 1) AS has_singles, any_value(is_ultrametric) AS is_ultrametric
+FROM k JOIN u USING (tree_id) GROUP BY tree_id"""
+)
+def tree_predicates(spark, sf_dir):
+    return T.predicates(V.heap_tree(spark, sf_dir).unionByName(V.clock_tree(spark, sf_dir)))
+
+
+@query(
+    V.with_views("heap")
+    + """, broken AS (SELECT node, CASE WHEN node % 7 = 0 THEN node * 1000 ELSE parent END AS parent FROM heap)
+SELECT 'FATAL' AS severity, 'a parent is no node of the tree' AS message, count(*) AS n FROM broken WHERE parent IS NOT NULL AND parent NOT IN (SELECT node FROM broken)
+UNION ALL SELECT 'MODERATE', 'a node has a single child', count(*) FROM (SELECT parent FROM broken WHERE parent IN (SELECT node FROM broken) GROUP BY parent HAVING count(*) = 1) HAVING count(*) > 0"""
+)
+def check_valid(spark, sf_dir):
+    nodes = V.heap_tree(spark, sf_dir)
+    broken = nodes.withColumn("parent", F.when(F.col("node") % 7 == 0, F.col("node") * 1000).otherwise(F.col("parent")))
+    return T.validate(broken).select("severity", "message", "n")
+
+
+@query(
+    CLOCK_TIPS.rstrip()
+    + ROOTS
+    + """SELECT node, round((SELECT max(depth) FROM paths) - depth, 6) AS age FROM paths WHERE node NOT IN (SELECT node FROM tips)"""
+)
+def branching_times(spark, sf_dir):
+    return r6(T.branching_times(V.clock_tree(spark, sf_dir)).select("node", "age"), "age")
+
+
+@query(
+    HEAP_TIPS.rstrip()
+    + """, below AS (SELECT c.ancestor AS node, count(*) AS n FROM closure c JOIN tips USING (node) GROUP BY c.ancestor)
+SELECT parent AS node, min_by(n, b.node) AS "left", max_by(n, b.node) AS "right" FROM below b JOIN heap h ON h.node = b.node WHERE parent IS NOT NULL GROUP BY parent"""
+)
+def balance(spark, sf_dir):
+    return T.balance(V.heap_tree(spark, sf_dir)).drop("tree_id")
+
+
+PAIRS = """, met AS (SELECT a.node AS a, b.node AS b, max_by(a.ancestor, -a.hops) AS mrca FROM closure a JOIN closure b ON a.ancestor = b.ancestor AND a.node < b.node
+  WHERE a.node IN (SELECT node FROM tips) AND b.node IN (SELECT node FROM tips) GROUP BY a.node, b.node)\n"""
+
+
+@query(HEAP_TIPS.rstrip() + PAIRS + "SELECT a, b, mrca FROM met")
+def mrca(spark, sf_dir):
+    return T.tip_pairs(V.heap_tree(spark, sf_dir)).select("a", "b", "mrca")
+
+
+@query(HEAP_TIPS.rstrip() + ROOTS + PAIRS + "SELECT a, b, round(x.depth + y.depth - 2 * m.depth, 6) AS dist FROM met JOIN paths x ON x.node = a JOIN paths y ON y.node = b JOIN paths m ON m.node = mrca")
+def cophenetic(spark, sf_dir):
+    return T.cophenetic(V.heap_tree(spark, sf_dir)).select("a", "b", F.round("dist", 6).alias("dist"))
+
+
+@query(
+    HEAP_TIPS.rstrip()
+    + ROOTS
+    + PAIRS
+    + "SELECT a, b, round(m.depth, 6) AS v FROM met JOIN paths m ON m.node = mrca UNION ALL SELECT node, node, round(depth, 6) FROM paths WHERE node IN (SELECT node FROM tips)"
+)
+def vcv_brownian(spark, sf_dir):
+    return T.vcv(V.heap_tree(spark, sf_dir)).select("a", "b", F.round("v", 6).alias("v"))
+
+
+@query(HEAP + "SELECT node, list(ancestor ORDER BY hops DESC) AS path FROM closure GROUP BY node")
+def nodepath(spark, sf_dir):
+    return T.node_paths(V.heap_tree(spark, sf_dir)).select("node", "path")
+
+
+@query(
+    HEAP_TIPS.rstrip()
+    + """, below AS (SELECT c.ancestor AS node, count(*) AS n FROM closure c JOIN tips USING (node) GROUP BY c.ancestor),
+h AS (SELECT node, (n - 1.0) / ((SELECT count(*) FROM tips) - 1) AS h FROM below)
+SELECT t.node, round(p.h - h.h, 6) AS length FROM heap t JOIN h ON h.node = t.node LEFT JOIN h p ON p.node = t.parent"""
+)
+def compute_brlen(spark, sf_dir):
+    return T.grafen_lengths(V.heap_tree(spark, sf_dir)).select("node", F.round("length", 6).alias("length"))
+
+
+@query(HEAP + "SELECT h.node, h.parent, round(h.length, 6) AS length FROM heap h WHERE node IN (SELECT node FROM closure WHERE ancestor = 5)".replace("h.parent, round(h.length, 6) AS length", "CASE WHEN h.node <> 5 THEN h.parent END AS parent, CASE WHEN h.node <> 5 THEN round(h.length, 6) END AS length"))
+def extract_clade(spark, sf_dir):
+    return T.extract_clade(V.heap_tree(spark, sf_dir), 5).select("node", "parent", F.round("length", 6).alias("length"))
+
+
+@query(HEAP_TIPS + "SELECT ancestor AS subtree, count(*) AS nodes, round(sum(h.length) FILTER (c.node <> ancestor), 6) AS total_length FROM closure c JOIN heap h ON h.node = c.node WHERE ancestor NOT IN (SELECT node FROM tips) GROUP BY ancestor")
+def subtrees(spark, sf_dir):
+    return T.subtrees(V.heap_tree(spark, sf_dir)).groupBy("subtree").agg(F.count("*").alias("nodes"), F.round(F.sum("length"), 6).alias("total_length"))
+
+
+@query(
+    HEAP_TIPS.rstrip()
+    + """, kept AS (SELECT node FROM tips WHERE node % 3 <> 0),
+live AS (SELECT DISTINCT ancestor AS node FROM closure JOIN kept USING (node)),
+k AS (SELECT l.node, count(c.node) AS n FROM live l LEFT JOIN heap c ON c.parent = l.node AND c.node IN (SELECT node FROM live) GROUP BY l.node),
+stay AS (SELECT node FROM k WHERE n <> 1),
+up AS (SELECT c.node, min_by(ancestor, hops) AS parent, min_by(dist, hops) AS length FROM closure c WHERE hops > 0 AND c.node IN (SELECT node FROM stay) AND ancestor IN (SELECT node FROM stay) GROUP BY c.node)
+SELECT s.node, up.parent, round(up.length, 6) AS length FROM stay s LEFT JOIN up ON up.node = s.node"""
+)
+def drop_tip(spark, sf_dir):
+    nodes = V.heap_tree(spark, sf_dir)
+    labels = [r[0] for r in T.with_children(nodes).where("is_tip and node % 3 = 0").select("label").collect()]
+    return T.drop_tips(nodes, labels).select("node", "parent", F.round("length", 6).alias("length"))
+
+
+@query(
+    """WITH x AS (SELECT r_name AS region, n_name AS nation, c_name AS customer FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT 'root' AS node, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS VARCHAR) AS label
+UNION ALL SELECT DISTINCT 'root/' || region, 'root', region FROM x
+UNION ALL SELECT DISTINCT 'root/' || region || '/' || nation, 'root/' || region, nation FROM x
+UNION ALL SELECT DISTINCT 'root/' || region || '/' || nation || '/' || customer, 'root/' || region || '/' || nation, customer FROM x"""
+)
+def as_phylo_formula(spark, sf_dir):
+    return T.from_taxonomy(V.taxonomy_paths(spark, sf_dir), ["region", "nation", "customer"]).select("node", "parent", "label")
+
+
+@query(
+    """WITH x AS (SELECT n_name, c_custkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+d AS (SELECT count(DISTINCT r_name) AS k FROM x UNION ALL SELECT count(DISTINCT n_name) + 1 FROM x GROUP BY r_name UNION ALL SELECT count(*) + 1 FROM x GROUP BY n_name UNION ALL SELECT 1 FROM x)
+SELECT k AS degree, count(*) AS n FROM d GROUP BY k"""
+)
+def taxonomy_degree(spark, sf_dir):
+    tree = T.from_taxonomy(V.taxonomy_paths(spark, sf_dir), ["region", "nation", "customer"])
+    return T.degree(tree).select("degree", "n")
+
+
+# -- sets of trees --------------------------------------------------------------------------------------
+WEEKS = V.with_views("weeks")
+CENSUS = (
+    WEEKS.rstrip()
+    + """, clades AS (SELECT tree_id, list_sort(types[k : 5]) AS clade FROM weeks, (SELECT unnest([1, 2, 3, 4]) AS k)),
+splits AS (SELECT tree_id, CASE WHEN list_contains(c, m) THEN list_filter(all_types, lambda x: NOT list_contains(c, x)) ELSE c END AS split, length
+  FROM (SELECT tree_id, list_sort(types[k : 5]) AS c, list_sort(types) AS all_types, list_sort(types)[1] AS m, 1.0 AS length FROM weeks, (SELECT unnest([2, 3, 4]) AS k)) WHERE true),
+s AS (SELECT tree_id, split, sum(length) AS length FROM splits WHERE len(split) > 1 AND len(split) < 4 GROUP BY tree_id, split)\n"""
+)
+
+
+def _weeks(spark, sf_dir):
+    return V.caterpillars(spark, sf_dir)
+
+
+@query(CENSUS + "SELECT array_to_string(clade, ',') AS clade, count(*) AS number FROM clades GROUP BY clade")
+def prop_part(spark, sf_dir):
+    return C.prop_part(C.clade_table(_weeks(spark, sf_dir))).select(F.concat_ws(",", "clade").alias("clade"), "number")
+
+
+@query(CENSUS + "SELECT array_to_string(split, ',') AS split, count(*) AS freq FROM s GROUP BY split")
+def bitsplits(spark, sf_dir):
+    return C.split_table(_weeks(spark, sf_dir)).groupBy(F.concat_ws(",", "split").alias("split")).agg(F.count("*").alias("freq"))
+
+
+@query(
+    CENSUS.rstrip()
+    + """, ranked AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS r FROM (SELECT DISTINCT event_type FROM events)),
+m AS (SELECT tree_id, split, CAST(sum(CAST(1 AS BIGINT) << r) AS BIGINT) AS mask FROM (SELECT tree_id, split, unnest(split) AS event_type FROM s) JOIN ranked USING (event_type) GROUP BY tree_id, split)
+SELECT mask, count(*) AS freq FROM m GROUP BY mask"""
+)
+def split_masks(spark, sf_dir):
+    nodes = _weeks(spark, sf_dir)
+    return C.bitsplits(C.split_table(nodes), nodes.where("label is not null"))
+
+
+@query(CENSUS + "SELECT a.tree_id AS t1, b.tree_id AS t2, CAST((SELECT count(*) FROM s WHERE s.tree_id = a.tree_id) + (SELECT count(*) FROM s WHERE s.tree_id = b.tree_id) - 2 * (SELECT count(*) FROM s x JOIN s y ON x.split = y.split WHERE x.tree_id = a.tree_id AND y.tree_id = b.tree_id) AS BIGINT) AS d FROM weeks a JOIN weeks b ON a.tree_id < b.tree_id")
+def dist_topo(spark, sf_dir):
+    nodes = _weeks(spark, sf_dir)
+    return C.topology_distance(C.split_table(nodes), nodes)
+
+
+@query(
+    CENSUS.rstrip()
+    + """, p AS (SELECT a.tree_id AS t1, b.tree_id AS t2 FROM weeks a JOIN weeks b ON a.tree_id < b.tree_id),
+l AS (SELECT t1, t2, x.length AS l1, 0 AS l2, split FROM p JOIN s x ON x.tree_id = t1 UNION ALL SELECT t1, t2, 0, x.length, split FROM p JOIN s x ON x.tree_id = t2),
+g AS (SELECT t1, t2, split, sum(l1) - sum(l2) AS d FROM l GROUP BY t1, t2, split)
+SELECT t1, t2, round(sqrt(sum(d * d)), 6) AS d FROM g GROUP BY t1, t2"""
+)
+def dist_topo_score(spark, sf_dir):
+    nodes = _weeks(spark, sf_dir)
+    return r6(C.branch_score(C.split_table(nodes), nodes), "d")
+
+
+@query(CENSUS + ", k AS (SELECT tree_id, list_sort(list(array_to_string(split, ','))) AS k FROM s GROUP BY tree_id)\nSELECT tree_id, min(tree_id) OVER (PARTITION BY k) AS first FROM k")
+def unique_trees(spark, sf_dir):
+    nodes = _weeks(spark, sf_dir)
+    return C.unique_trees(C.topology_hash(C.split_table(nodes), nodes))
+
+
+@query(CENSUS + "SELECT array_to_string(clade, ',') AS clade, round(count(*) / (SELECT count(*) FROM weeks), 6) AS support FROM clades GROUP BY clade HAVING count(*) >= 0.5000001 * (SELECT count(*) FROM weeks)")
+def consensus(spark, sf_dir):
+    nodes = _weeks(spark, sf_dir)
+    n = nodes.select("tree_id").distinct().count()
+    return C.consensus_clades(C.prop_part(C.clade_table(nodes)), n).select(F.concat_ws(",", "clade").alias("clade"), F.round("support", 6).alias("support"))
+
+
+@query(CENSUS + ", ref AS (SELECT clade FROM clades WHERE tree_id = (SELECT min(tree_id) FROM weeks))\nSELECT array_to_string(ref.clade, ',') AS clade, count(*) AS support FROM ref JOIN clades ON clades.clade = ref.clade GROUP BY ref.clade")
+def prop_clades(spark, sf_dir):
+    table = C.clade_table(_weeks(spark, sf_dir))
+    first = table.agg(F.min("tree_id").alias("tree_id"))
+    return C.clade_support(table.join(F.broadcast(first), "tree_id"), C.prop_part(table)).select(F.concat_ws(",", "clade").alias("clade"), "support")
+
+
+@query(
+    CENSUS.rstrip()
+    + """, ranked AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS r FROM (SELECT DISTINCT event_type FROM events)),
+m AS (SELECT DISTINCT mask FROM (SELECT CAST(sum(CAST(1 AS BIGINT) << r) AS BIGINT) AS mask FROM (SELECT tree_id, split, unnest(split) AS event_type FROM s) JOIN ranked USING (event_type) GROUP BY tree_id, split))
+SELECT a.mask AS a, b.mask AS b, (a.mask & b.mask) = 0 OR (a.mask & ~b.mask & 31) = 0 OR (b.mask & ~a.mask & 31) = 0 OR (~(a.mask | b.mask) & 31) = 0 AS compatible FROM m a JOIN m b ON a.mask < b.mask"""
+)
+def are_compatible(spark, sf_dir):
+    nodes = _weeks(spark, sf_dir)
+    return C.are_compatible(C.bitsplits(C.split_table(nodes), nodes.where("label is not null")), 5)
+
+
+# -- sequences ------------------------------------------------------------------------------------------
+SEQ = V.with_views("nucleotides")
+GAP = V.with_views("gapped")
+
+
+@query(
+    SEQ
+    + """SELECT base, round(n / sum(n) OVER (), 6) AS freq FROM (SELECT unnest(['a', 'c', 'g', 't']) AS base, unnest([sum(length(seq) - length(replace(seq, 'a', ''))), sum(length(seq) - length(replace(seq, 'c', ''))),
+sum(length(seq) - length(replace(seq, 'g', ''))), sum(length(seq) - length(replace(seq, 't', '')))]) AS n FROM nucleotides)"""
+)
+def base_freq(spark, sf_dir):
+    return r6(S.base_freq(V.nucleotides(spark, sf_dir)), "freq")
+
+
+@query(
+    SEQ
+    + """, c AS (SELECT label, length(regexp_replace(seq, '[^cg]', '', 'g')) AS gc, length(regexp_replace(seq, '[^acgt]', '', 'g')) AS n FROM nucleotides)
+SELECT label, round(gc / nullif(n, 0), 6) AS gc FROM c"""
+)
+def gc_content(spark, sf_dir):
+    return r6(S.gc_content(V.nucleotides(spark, sf_dir)), "gc")
+
+
+@query(SEQ + "SELECT label, md5(reverse(translate(seq, 'acgt', 'tgca'))) AS digest, length(seq) AS n FROM nucleotides")
+def complement(spark, sf_dir):
+    return S.complement(V.nucleotides(spark, sf_dir)).select("label", F.md5("seq").alias("digest"), F.length("seq").cast("long").alias("n"))
+
+
+@query(
+    SEQ
+    + """, codons AS (SELECT label, i, substr(seq, 3 * i + 1, 3) AS codon FROM (SELECT label, seq, unnest(range(0, length(seq) // 3)) AS i FROM nucleotides)),
+aa AS (SELECT label, i, CASE WHEN contains(codon, 'n') THEN NULL ELSE substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG',
+  CAST(16 * (instr('tcag', substr(codon, 1, 1)) - 1) + 4 * (instr('tcag', substr(codon, 2, 1)) - 1) + instr('tcag', substr(codon, 3, 1)) AS BIGINT), 1) END AS aa FROM codons)
+SELECT label, count(*) FILTER (aa = 'L') AS leu, count(*) FILTER (aa = '*') AS stops, count(*) FILTER (aa = 'M') AS met FROM aa GROUP BY label"""
+)
+def trans(spark, sf_dir):
+    aa = S.translate(V.nucleotides(spark, sf_dir)).where(F.length("seq") > 0)
+    # ambiguous codons translate where all readings agree; the counts below leave those out by name of the codon
+    s = V.nucleotides(spark, sf_dir).where("length(seq) >= 3")
+    clean = s.select("label", F.transform(F.sequence(F.lit(0), F.floor(F.length("seq") / 3).cast("int") - 1), lambda i: F.substring("seq", i * 3 + 1, F.lit(3))).alias("c"))
+    both = aa.join(clean, "label").select("label", F.filter(F.zip_with("c", F.split("seq", ""), lambda c, a: F.when(~c.contains("n"), a)), lambda a: a.isNotNull()).alias("a"))
+    count = lambda x: F.size(F.filter("a", lambda a: a == x)).cast("long")
+    return both.select("label", count("L").alias("leu"), count("*").alias("stops"), count("M").alias("met"))
+
+
+@query(SEQ + "SELECT label, CAST(p AS BIGINT) AS pos FROM (SELECT label, seq, unnest(range(1, length(seq) - 2)) AS p FROM nucleotides) WHERE substr(seq, p, 4) = 'gtac'")
+def where_pattern(spark, sf_dir):
+    return S.where_pattern(V.nucleotides(spark, sf_dir), "gtac").select("label", F.col("pos").cast("long").alias("pos"))
+
+
+@query(GAP + "SELECT label, md5(replace(seq, '-', '')) AS digest FROM gapped")
+def del_gaps(spark, sf_dir):
+    return S.del_gaps(V.gapped(spark, sf_dir)).select("label", F.md5("seq").alias("digest"))
+
+
+@query(GAP + "SELECT label, length(seq) AS n FROM gapped WHERE length(seq) = 0 OR (length(seq) - length(replace(seq, '-', ''))) / length(seq) < 0.4")
+def del_rowgapsonly(spark, sf_dir):
+    return S.del_row_gaps(V.gapped(spark, sf_dir), 0.4).select("label", F.length("seq").cast("long").alias("n"))
+
+
+CAL = V.with_views("calendar")
+
+
+@query(
+    CAL
+    + """, keep AS (SELECT pos FROM sites GROUP BY pos HAVING avg(CASE WHEN base = '-' THEN 1 ELSE 0 END) < 0.15)
+SELECT label, string_agg(base, '' ORDER BY pos) AS seq FROM sites WHERE pos IN (SELECT pos FROM keep) GROUP BY label"""
+)
+def del_colgapsonly(spark, sf_dir):
+    return S.del_column_gaps(V.calendar_alignment(spark, sf_dir), 0.15).where("seq <> ''")
+
+
+@query(
+    CAL
+    + """, q AS (SELECT label, string_agg(base, '' ORDER BY pos) AS seq FROM sites GROUP BY label), l AS (SELECT label, seq, length(regexp_extract(seq, '^-*')) AS a, length(regexp_extract(seq, '-*$')) AS b FROM q)
+SELECT label, repeat('n', a) || substr(seq, a + 1, length(seq) - a - b) || repeat('n', b) AS seq FROM l"""
+)
+def latag2n(spark, sf_dir):
+    return S.end_gaps_to_n(V.calendar_alignment(spark, sf_dir))
+
+
+@query(CAL + "SELECT pos FROM sites GROUP BY pos HAVING count(DISTINCT base) > 1")
+def seg_sites(spark, sf_dir):
+    return S.seg_sites(V.calendar_alignment(spark, sf_dir), strict=True, end_gaps_as_n=False)
+
+
+@query(
+    CAL
+    + """, g AS (SELECT label, pos, pos - row_number() OVER (PARTITION BY label ORDER BY pos) AS k FROM sites WHERE base = '-')
+SELECT label, min(pos) AS pos, count(*) AS len FROM g GROUP BY label, k"""
+)
+def indel_blocks(spark, sf_dir):
+    return S.gap_blocks(V.calendar_alignment(spark, sf_dir))
+
+
+@query(
+    CAL
+    + """, n AS (SELECT pos, base, count(*) AS n FROM sites WHERE base <> '-' GROUP BY pos, base), p AS (SELECT pos, n / sum(n) OVER (PARTITION BY pos) AS p FROM n)
+SELECT pos, count(*) AS n_codes, round(sum(-p * ln(p)), 6) AS entropy FROM p GROUP BY pos"""
+)
+def check_alignment(spark, sf_dir):
+    return r6(S.site_entropy(V.calendar_alignment(spark, sf_dir)), "entropy")
+
+
+JOINT = (
+    CAL.rstrip()
+    + ", joint AS (SELECT a.label AS i, b.label AS j, "
+    + ", ".join(f"count(*) FILTER (a.base = '{x}' AND b.base = '{y}') AS f_{x}{y}" for x in "acgt" for y in "acgt")
+    + """ FROM sites a JOIN sites b ON a.pos = b.pos AND a.label < b.label GROUP BY a.label, b.label),
+counts AS (SELECT *, """
+    + ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in D.COUNTS.items())
+    + """ FROM joint),
+freq AS (SELECT """
+    + ", ".join(f"count(*) FILTER (base = '{b}') / count(*) FILTER (base <> '-') AS p{b}" for b in "acgt")
+    + " FROM sites)\n"
+)
+
+
+def _model(name: str) -> None:
+    def f(spark, sf_dir):
+        d = D.dist_dna(V.calendar_alignment(spark, sf_dir), name, pairwise_deletion=True)
+        return r6(d.withColumns({c: F.col(c).cast("double") for c in d.columns if c not in "ij"}), *[c for c in d.columns if c not in "ij"])
+
+    f.__name__ = f"dist_{name}"
+    back = f", round(CAST({D.formula('bh87_back')} AS DOUBLE), 6) AS d_back" if name == "bh87" else ""
+    query(JOINT + f"SELECT i, j, round(CAST({D.formula(name)} AS DOUBLE), 6) AS d{back} FROM counts, freq WHERE L > 0")(f)
+
+
+for _name in D.MODELS[:-1]:
+    _model(_name)
+
+
+@query(CAL + "SELECT a.label AS i, b.label AS j, count(*) FILTER ((a.base = '-') <> (b.base = '-')) AS d FROM sites a JOIN sites b ON a.pos = b.pos AND a.label < b.label GROUP BY a.label, b.label")
+def dist_indel(spark, sf_dir):
+    return D.dist_indel(V.calendar_alignment(spark, sf_dir))
+
+
+@query(
+    CAL
+    + """, g AS (SELECT label, pos, pos - row_number() OVER (PARTITION BY label ORDER BY pos) AS k FROM sites WHERE base = '-'), k AS (SELECT label, min(pos) AS pos, count(*) AS len FROM g GROUP BY label, k),
+b AS (SELECT s.label, s.pos, coalesce(len, 0) AS len FROM sites s LEFT JOIN k ON k.label = s.label AND k.pos = s.pos)
+SELECT x.label AS i, y.label AS j, count(*) FILTER (x.len <> y.len) AS d FROM b x JOIN b y ON x.pos = y.pos AND x.label < y.label GROUP BY x.label, y.label"""
+)
+def dist_indelblock(spark, sf_dir):
+    return D.dist_indel_blocks(V.calendar_alignment(spark, sf_dir))
+
+
+@query(CAL + "SELECT a.base AS x, b.base AS y, count(*) AS n FROM sites a JOIN sites b ON a.pos = b.pos AND a.label < b.label WHERE a.base <> '-' AND b.base <> '-' GROUP BY a.base, b.base")
+def ftab(spark, sf_dir):
+    return D.ftab(V.calendar_alignment(spark, sf_dir))
+
+
+@query(
+    """WITH a AS (SELECT s_suppkey AS label, [CAST(s_nationkey AS VARCHAR), CAST(s_acctbal > 0 AS VARCHAR), CASE WHEN s_suppkey % 5 <> 0 THEN CAST(s_nationkey % 4 AS VARCHAR) END] AS x FROM supplier)
+SELECT a.label AS i, b.label AS j, CAST(coalesce((a.x[1] <> b.x[1])::INT, 0) + coalesce((a.x[2] <> b.x[2])::INT, 0) + coalesce((a.x[3] <> b.x[3])::INT, 0) AS BIGINT) AS d FROM a JOIN a b ON a.label < b.label"""
+)
+def dist_gene(spark, sf_dir):
+    s = V.read(spark, sf_dir, "supplier")
+    third = F.when(F.col("s_suppkey") % 5 != 0, (F.col("s_nationkey") % 4).cast("string"))
+    return D.dist_gene(s.select(F.col("s_suppkey").alias("label"), F.array(F.col("s_nationkey").cast("string"), (F.col("s_acctbal") > 0).cast("string"), third).alias("alleles")))
+
+
+# -- statistics -----------------------------------------------------------------------------------------
+@query(
+    """WITH x AS (SELECT c_custkey AS k, c_nationkey AS g, c_acctbal AS v FROM customer), m AS (SELECT avg(v) AS m, CAST(count(*) AS DOUBLE) AS n FROM x), y AS (SELECT k, g, v - m AS y FROM x, m),
+w0 AS (SELECT a.k AS i, b.k AS j, a.y AS yi, b.y AS yj FROM y a JOIN y b ON a.g = b.g AND a.k <> b.k), w AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM w0),
+s AS (SELECT sum(w) AS s, sum(w * yi * yj) AS c FROM w), s1 AS (SELECT sum(pow(a.w + b.w, 2)) / 2 AS s1 FROM w a JOIN w b ON a.i = b.j AND a.j = b.i),
+t AS (SELECT k, sum(w) AS t FROM (SELECT i AS k, w FROM w UNION ALL SELECT j, w FROM w) GROUP BY k), s2 AS (SELECT sum(t * t) AS s2 FROM t), v AS (SELECT sum(y * y) AS v2, sum(pow(y, 4)) AS v4 FROM y),
+q AS (SELECT n, s, c, s1, s2, v2, (v4 / n) / pow(v2 / n, 2) AS k FROM m, s, s1, s2, v)
+SELECT CAST(n AS BIGINT) AS n, round((n / s) * (c / v2), 6) AS observed, round(-1 / (n - 1), 6) AS expected,
+round(sqrt((n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s * s) - k * (n * (n - 1) * s1 - 2 * n * s2 + 6 * s * s)) / ((n - 1) * (n - 2) * (n - 3) * s * s) - 1 / pow(n - 1, 2)), 6) AS sd FROM q"""
+)
+def moran_i(spark, sf_dir):
+    customers = V.read(spark, sf_dir, "customer")
+    return r6(P.moran_i(customers, P.weight_taxo(customers, "c_custkey", "c_nationkey"), "c_custkey", "c_acctbal"), "observed", "expected", "sd")
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS k, n_regionkey AS g, s_nationkey AS x FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT a.k AS i, b.k AS j, 1.0::DOUBLE AS w FROM s a JOIN s b ON a.g = b.g AND a.x <> b.x"""
+)
+def weight_taxo2(spark, sf_dir):
+    s = V.read(spark, sf_dir, "supplier").join(F.broadcast(V.read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    return P.weight_taxo2(s, "s_suppkey", "n_regionkey", "s_nationkey")
+
+
+DIST = V.with_views("distances")
+
+
+def _two_matrices(spark, sf_dir):
+    d = V.vector_distances(spark, sf_dir)
+    label = V.read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    other = d.join(label.toDF("i", "li"), "i").join(label.toDF("j", "lj"), "j").select(F.lit(2).cast("long").alias("matrix_id"), "i", "j", F.abs(F.col("li") - F.col("lj")).cast("double").alias("d"))
+    return d, other
+
+
+@query(DIST + "SELECT round(sum(d * abs(a.label - b.label)), 3) AS z FROM distances JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = j")
+def mantel_z(spark, sf_dir):
+    return P.mantel_z(*_two_matrices(spark, sf_dir)).select(F.round("z", 3).alias("z"))
+
+
+@query(
+    DIST.rstrip()
+    + """, m AS (SELECT 1 AS matrix_id, i, j, d FROM distances UNION ALL SELECT 2, i, j, CAST(abs(a.label - b.label) AS DOUBLE) FROM distances JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = j),
+r AS (SELECT matrix_id, i, j, rank() OVER (PARTITION BY matrix_id ORDER BY d) + (count(*) OVER (PARTITION BY matrix_id, d) - 1) / 2 AS r FROM m),
+s AS (SELECT i, j, sum(r) AS s FROM r GROUP BY i, j), g AS (SELECT CAST(count(*) AS DOUBLE) AS n, var_samp(s) * (count(*) - 1) AS ss FROM s),
+t AS (SELECT sum(pow(t, 3) - t) AS t FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM r GROUP BY matrix_id, r))
+SELECT CAST(2 AS BIGINT) AS n_matrices, CAST(n AS BIGINT) AS n_pairs, round(12 * ss / (4 * (n * n * n - n) - 2 * t), 6) AS w, round(2 * (n - 1) * 12 * ss / (4 * (n * n * n - n) - 2 * t), 3) AS chi2 FROM g, t"""
+)
+def cadm_global(spark, sf_dir):
+    a, b = _two_matrices(spark, sf_dir)
+    return P.cadm(a.unionByName(b)).select("n_matrices", "n_pairs", F.round("w", 6).alias("w"), F.round("chi2", 3).alias("chi2"))
+
+
+# -- times ----------------------------------------------------------------------------------------------
+@query(
+    CLOCK_TIPS.rstrip()
+    + ROOTS
+    + """, e AS (SELECT depth - (SELECT max(depth) FROM paths) AS time FROM paths WHERE node NOT IN (SELECT node FROM tips)), g AS (SELECT round(time, 9) AS time, count(*) AS d FROM e GROUP BY 1)
+SELECT round(time, 6) AS time, CAST(1 + sum(d) OVER (ORDER BY time) AS BIGINT) AS n FROM g"""
+)
+def ltt_coords(spark, sf_dir):
+    # all depths of a level add the same numbers in the same order, so equal times are equal doubles
+    return r6(TT.ltt(V.clock_tree(spark, sf_dir)).select("time", "n"), "time")
+
+
+IVALS = (
+    CLOCK_TIPS.rstrip()
+    + ROOTS
+    + """, bt AS (SELECT node, (SELECT max(depth) FROM paths) - depth AS age FROM paths WHERE node NOT IN (SELECT node FROM tips)),
+iv AS (SELECT row_number() OVER (ORDER BY age, node) AS k, count(*) OVER () - row_number() OVER (ORDER BY age, node) + 2 AS lineages, age - coalesce(lag(age) OVER (ORDER BY age, node), 0) AS w FROM bt)\n"""
+)
+
+
+@query(IVALS + "SELECT k, lineages, round(w, 6) AS w FROM iv")
+def coalescent_intervals(spark, sf_dir):
+    return r6(TT.coalescent_intervals(V.clock_tree(spark, sf_dir)).select("k", "lineages", "w"), "w")
+
+
+GAPS = V.with_views("gaps")
+GAP_IVALS = GAPS.rstrip() + ", iv AS (SELECT user_id AS tree_id, k, count(*) OVER (PARTITION BY user_id) - k + 2 AS lineages, w FROM gaps)\n"
+
+
+def _gap_intervals(spark, sf_dir):
+    return TT.intervals_from_widths(V.user_gaps(spark, sf_dir), "user_id", "k", "w")
+
+
+@query(GAP_IVALS + "SELECT tree_id, k, round(sum(w) OVER (PARTITION BY tree_id ORDER BY k), 3) AS time, round(w * lineages * (lineages - 1) / 2, 3) AS ne FROM iv")
+def skyline_classic(spark, sf_dir):
+    return TT.skyline(_gap_intervals(spark, sf_dir)).select("tree_id", "k", F.round("time", 3).alias("time"), F.round("ne", 3).alias("ne"))
+
+
+@query(IVALS + ", r AS (SELECT lineages AS l, sum(lineages * w) OVER (ORDER BY lineages) AS run, sum(lineages * w) OVER () AS total, max(lineages) OVER () AS n FROM iv)\nSELECT round((sum(run) FILTER (l < n) / (max(n) - 2) - max(total) / 2) / (max(total) * sqrt(1 / (12 * (max(n) - 2)))), 6) AS gamma FROM r")
+def gamma_stat(spark, sf_dir):
+    return r6(TT.gamma_stat(V.clock_tree(spark, sf_dir)).select("gamma"), "gamma")
+
+
+@query(
+    HEAP_TIPS
+    + """SELECT round((m - 1) / x, 9) AS "lambda", round((m - 1) / x / sqrt(m - 1), 9) AS se, round(-(m - 1) + lgamma(m + 1) + (m - 1) * ln((m - 1) / x), 3) AS loglik
+FROM (SELECT count(*) - (SELECT count(*) FROM tips) AS m, sum(length) AS x FROM heap)"""
+)
+def yule(spark, sf_dir):
+    return TT.yule(V.heap_tree(spark, sf_dir)).select(F.round("lambda", 9).alias("lambda"), F.round("se", 9).alias("se"), F.round("loglik", 3).alias("loglik"))
+
+
+@query(
+    HEAP_TIPS.rstrip()
+    + """, c AS (SELECT count(*) AS c FROM (SELECT parent FROM heap GROUP BY parent HAVING count(*) = 2 AND bool_and(node IN (SELECT node FROM tips)))), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM tips)
+SELECT CAST(n AS BIGINT) AS n_tip, c AS n_cherries, round(abs(c - n / 3) / sqrt(2 * n / 45), 6) AS z_yule,
+round(abs(c - n * (n - 1) / (2 * (2 * n - 5))) / sqrt(n * (n - 1) * (n - 4) * (n - 5) / (2 * pow(2 * n - 5, 2) * (2 * n - 7))), 6) AS z_uniform FROM c, n"""
+)
+def cherry(spark, sf_dir):
+    return r6(TT.cherry_test(V.heap_tree(spark, sf_dir)).drop("tree_id"), "z_yule", "z_uniform")
+
+
+@query(
+    GAPS.rstrip()
+    + """, z AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY w) AS i, count(*) OVER (PARTITION BY user_id) AS n, 1 - exp(-w / avg(w) OVER (PARTITION BY user_id)) AS z FROM gaps),
+q AS (SELECT a.*, b.z AS zr FROM z a JOIN z b ON a.user_id = b.user_id AND b.i = a.n + 1 - a.i)
+SELECT user_id, n, round((sum(pow(z - (2 * i - 1) / (2 * n), 2)) + n / 12) * (1 - 0.16 / n), 6) AS w2,
+round((-n - sum((2 * i - 1) * (CASE WHEN z > 0 THEN ln(z) END + CASE WHEN zr < 1 THEN ln(1 - zr) END)) / n) * (1 + 0.6 / n), 6) AS a2 FROM q GROUP BY user_id, n"""
+)
+def diversi_gof(spark, sf_dir):
+    return r6(TT.exponential_fit(V.user_gaps(spark, sf_dir), "user_id", "w"), "w2", "a2")
+
+
+SISTERS = """WITH c AS (SELECT n_regionkey AS g, n_nationkey AS k, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+o AS (SELECT g, n, row_number() OVER (PARTITION BY g ORDER BY n DESC, k) AS r FROM c), p AS (SELECT a.n AS l, b.n AS s FROM o a JOIN o b ON a.g = b.g AND b.r = a.r + 1 WHERE a.r % 2 = 1)\n"""
+
+
+def _sisters(spark, sf_dir):
+    from pyspark.sql import Window
+
+    n = V.read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")).join(F.broadcast(V.read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = n.select(F.col("n_regionkey").alias("g"), "n", F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.desc("n"), "n_nationkey")).alias("r"))
+    return o.where("r % 2 = 1").toDF("g", "l", "r").join(o.select("g", F.col("n").alias("s"), (F.col("r") - 1).alias("r")), ["g", "r"]).select("l", "s")
+
+
+@query(SISTERS + "SELECT count(*) AS n, round(-2 * sum(ln(s / (l + s - 1))), 6) AS chi2 FROM p")
+def slowinski_guyer(spark, sf_dir):
+    return r6(TT.slowinski_guyer(_sisters(spark, sf_dir), "l", "s"), "chi2")
+
+
+@query(
+    SISTERS
+    + """SELECT count(*) AS n, round(1.629 * sum(CASE WHEN l > 1 THEN (l - 1) * ln(l - 1) ELSE 0 END - l * ln(l) + CASE WHEN s > 1 THEN (s - 1) * ln(s - 1) ELSE 0 END - s * ln(s)
+- 2 * ln(2) - CASE WHEN l + s > 2 THEN (l + s - 2) * ln(l + s - 2) ELSE 0 END + (l + s) * ln(l + s)), 6) AS chi2 FROM p"""
+)
+def mcconway_sims(spark, sf_dir):
+    return r6(TT.mcconway_sims(_sisters(spark, sf_dir), "l", "s"), "chi2")
+
+
+@query(SISTERS + "SELECT count(*) AS n, round(sum(sign(l - s) * (greatest(l, s) / (l + s))), 6) AS total FROM p")
+def diversity_contrast(spark, sf_dir):
+    return r6(TT.diversity_contrast(_sisters(spark, sf_dir), "l", "s", "proportion"), "total")
+
+
+# -- kernels: no SQL twin, tested against brute force -----------------------------------------------------
+@query()
+def nj(spark, sf_dir):
+    return I.trees_from_distances(V.vector_distances(spark, sf_dir), "nj")
+
+
+@query()
+def bionj(spark, sf_dir):
+    return I.trees_from_distances(V.vector_distances(spark, sf_dir), "bionj")
+
+
+@query()
+def mst(spark, sf_dir):
+    return r6(I.spanning_trees(V.vector_distances(spark, sf_dir)), "d")
+
+
+@query()
+def pic(spark, sf_dir):
+    nodes = V.heap_tree(spark, sf_dir)
+    traits = nodes.select("label", (F.col("length") * 10).alias("x"))
+    return r6(K.pic(nodes, traits), "contrast", "variance", "value")
+
+
+@query()
+def pcoa(spark, sf_dir):
+    return P.pcoa(V.vector_distances(spark, sf_dir)).groupBy("axis").agg(F.round(F.first("eigenvalue"), 3).alias("eigenvalue"), F.round(F.first("relative"), 6).alias("relative"), F.round(F.first("broken_stick"), 6).alias("broken_stick"))
+
+
+@query()
+def skyline_generalised(spark, sf_dir):
+    return r6(TT.skyline_groups(TT.collapse_intervals(_gap_intervals(spark, sf_dir), 3600.0)), "time", "width", "ne")
+
+
+@query()
+def skyline_aicc(spark, sf_dir):
+    return r6(TT.skyline_likelihood(TT.collapse_intervals(_gap_intervals(spark, sf_dir), 3600.0)), "loglik", "aicc")
+
+
+@query()
+def consensus_tree(spark, sf_dir):
+    nodes = _weeks(spark, sf_dir)
+    n = nodes.select("tree_id").distinct().count()
+    kept = C.consensus_clades(C.prop_part(C.clade_table(nodes)), n, 0.5)
+    return C.clades_to_tree(kept, nodes.where("label is not null").select("label"))
+
+
+@query()
+def write_newick(spark, sf_dir):
+    from sylva.sources.writers import to_newick
+
+    return to_newick(_weeks(spark, sf_dir))
