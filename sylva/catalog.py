@@ -207,8 +207,7 @@ SELECT s.node, up.parent, round(up.length, 6) AS length FROM stay s LEFT JOIN up
 )
 def drop_tip(spark, sf_dir):
     nodes = V.heap_tree(spark, sf_dir)
-    labels = [r[0] for r in T.with_children(nodes).where("is_tip and node % 3 = 0").select("label").collect()]
-    return T.drop_tips(nodes, labels).select("node", "parent", F.round("length", 6).alias("length"))
+    return T.drop_tips(nodes, T.with_children(nodes).where("is_tip and node % 3 = 0").select("label")).select("node", "parent", F.round("length", 6).alias("length"))
 
 
 @query(

@@ -132,10 +132,10 @@ def formula(model: str, gamma: float | None = None) -> str:
     rows = {x: "(" + " + ".join(f"f_{x}{y}" for y in BASES) + ")" for x in BASES}
     cols = {y: "(" + " + ".join(f"f_{x}{y}" for x in BASES) + ")" for y in BASES}
     if model == "bh87":  # from i to j: each row of the joint table sums to 1
-        g = [[f"(1.0 * f_{x}{y} / nullif({rows[x]}, 0))" for y in BASES] for x in BASES]
+        g = [[f"(1e0 * f_{x}{y} / nullif({rows[x]}, 0))" for y in BASES] for x in BASES]
         return f"({_ln(_det(g))}) / -4"
     if model == "bh87_back":
-        g = [[f"(1.0 * f_{x}{y} / nullif({cols[y]}, 0))" for x in BASES] for y in BASES]
+        g = [[f"(1e0 * f_{x}{y} / nullif({cols[y]}, 0))" for x in BASES] for y in BASES]
         return f"({_ln(_det(g))}) / -4"
     if model == "paralin":
         total = " * ".join(f"({rows[x]} / L) * ({cols[x]} / L)" for x in BASES)

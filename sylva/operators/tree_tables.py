@@ -239,15 +239,16 @@ def from_taxonomy(paths: DataFrame, levels: list[str], tree_id: int = 1) -> Data
     return out.select(F.lit(tree_id).cast("long").alias("tree_id"), "node", "parent", F.lit(None).cast("double").alias("length"), "label")
 
 
-def drop_tips(nodes: DataFrame, labels: list[str], reach: DataFrame | None = None) -> DataFrame:
-    """The nodes left without the tips: dead internal nodes go, nodes with one child are joined with it."""
+def drop_tips(nodes: DataFrame, labels: DataFrame | list[str], reach: DataFrame | None = None) -> DataFrame:
+    """The nodes left without the tips (a table with their label, or a list): dead internal nodes go, nodes with one child are joined with it."""
     reach = closure(nodes) if reach is None else reach
-    kept = with_children(nodes).where(F.col("is_tip") & ~F.col("label").isin(*labels)).select("tree_id", "node")
+    gone = labels if isinstance(labels, DataFrame) else nodes.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+    kept = with_children(nodes).where("is_tip").join(gone.select("label"), "label", "left_anti").select("tree_id", "node")
     live = reach.join(kept, ["tree_id", "node"]).select("tree_id", F.col("ancestor").alias("node")).distinct()
     alive = nodes.join(live, ["tree_id", "node"], "left_semi")
     own = with_children(alive)
     stays = own.where("n_children <> 1").select("tree_id", F.col("node").alias("ancestor"))
-    inside = reach.join(own.select("tree_id", "node").where("true"), ["tree_id", "node"]).where("hops > 0").join(stays, ["tree_id", "ancestor"])
+    inside = reach.join(own.select("tree_id", "node"), ["tree_id", "node"]).where("hops > 0").join(stays, ["tree_id", "ancestor"])
     up = inside.groupBy("tree_id", "node").agg(F.min_by("ancestor", "hops").alias("parent"), F.min_by("dist", "hops").alias("path"))
     has_length = nodes.groupBy("tree_id").agg((F.count("length") > 0).alias("has_length"))
     return (

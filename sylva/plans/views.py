@@ -79,9 +79,9 @@ def calendar_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(label, seq): of each user one base a day from the type of the day's first event, a gap on other days."""
     events = read(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     first = events.groupBy("user_id", "day").agg(F.min(F.struct("ts", "event_id", "event_type")).alias("e"))
-    types = events.select("event_type").distinct().withColumn("rank", F.row_number().over(Window.orderBy("event_type")))
+    types = events.select("event_type").distinct().withColumn("r", F.row_number().over(Window.orderBy("event_type")))
     span = events.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    bases = first.join(F.broadcast(types), F.col("e.event_type") == types.event_type).select("user_id", "day", F.substring(F.lit("aagct"), 1, 5).alias("all"), "rank").select("user_id", "day", F.expr("substring(all, cast((rank - 1) % 5 + 1 as int), 1)").alias("base"))
+    bases = first.join(F.broadcast(types), F.col("e.event_type") == types.event_type).select("user_id", "day", F.expr("substring('aagct', cast((r - 1) % 5 + 1 as int), 1)").alias("base"))
     rows = bases.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("day", "base"))).alias("m"))
     return rows.crossJoin(F.broadcast(span)).select(
         F.col("user_id").alias("label"), F.array_join(F.transform(F.sequence("lo", "hi"), lambda d: F.coalesce(F.element_at("m", d), F.lit("-"))), "").alias("seq")
@@ -112,7 +112,8 @@ def user_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, k, w): seconds between a user's consecutive events, numbered from 1."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     events = read(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    w = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = at - F.lag(at).over(order)
     return events.select("user_id", (F.row_number().over(order) - 1).cast("long").alias("k"), (w / 1_000_000).alias("w")).where("w is not null")
 
 
