@@ -251,6 +251,8 @@ def ace_discrete(tree: Phylo, states: dict[str, str], model: str = "ER") -> tupl
     names = sorted({s for s in states.values() if s is not None})
     code = {t: names.index(s) for t, s in states.items() if s is not None}
     k = len(names)
+    if k < 2:
+        raise ValueError("all tips are in one state")
     index = rate_index(model, k)
     n = int(index.max())
 

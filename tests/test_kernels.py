@@ -93,7 +93,7 @@ def test_ancestral_states():
     assert est[PRIMATES.root] == pytest.approx(pic[PRIMATES.root])
     assert all(a < est[v] < b for v, (a, b) in ci.items())
     t = coalescent_tree(60, np.random.default_rng(1))
-    s = discrete_trait(t, np.random.default_rng(2), rates=0.5)
+    s = discrete_trait(t, np.random.default_rng(2), rates=1.0)
     rates, ll, names, like, q = K.ace_discrete(t, {t.label[v]: "AB"[s[v]] for v in t.tips()})
     assert rates[0] > 0 and all(abs(x.sum() - 1) < 1e-9 for x in like.values())
     hit = np.mean([like[v].argmax() == names.index("AB"[s[v]]) for v in t.internal()])
