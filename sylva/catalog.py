@@ -186,9 +186,9 @@ def compute_brlen(spark, sf_dir):
     return T.grafen_lengths(V.heap_tree(spark, sf_dir)).select("node", F.round("length", 6).alias("length"))
 
 
-@query(HEAP + "SELECT h.node, h.parent, round(h.length, 6) AS length FROM heap h WHERE node IN (SELECT node FROM closure WHERE ancestor = 5)".replace("h.parent, round(h.length, 6) AS length", "CASE WHEN h.node <> 5 THEN h.parent END AS parent, CASE WHEN h.node <> 5 THEN round(h.length, 6) END AS length"))
+@query(HEAP + "SELECT h.node, h.parent, round(h.length, 6) AS length FROM heap h WHERE node IN (SELECT node FROM closure WHERE ancestor = 5)".replace("h.parent, round(h.length, 6) AS length", "CASE WHEN h.node <> 5 THEN h.parent ELSE 0 END AS parent, CASE WHEN h.node <> 5 THEN round(h.length, 6) END AS length"))
 def extract_clade(spark, sf_dir):
-    return T.extract_clade(V.heap_tree(spark, sf_dir), 5).select("node", "parent", F.round("length", 6).alias("length"))
+    return T.extract_clade(V.heap_tree(spark, sf_dir), 5).select("node", F.coalesce("parent", F.lit(0)).alias("parent"), F.round("length", 6).alias("length"))
 
 
 @query(HEAP_TIPS + "SELECT ancestor AS subtree, count(*) AS nodes, round(sum(h.length) FILTER (c.node <> ancestor), 6) AS total_length FROM closure c JOIN heap h ON h.node = c.node WHERE ancestor NOT IN (SELECT node FROM tips) GROUP BY ancestor")
@@ -203,11 +203,11 @@ live AS (SELECT DISTINCT ancestor AS node FROM closure JOIN kept USING (node)),
 k AS (SELECT l.node, count(c.node) AS n FROM live l LEFT JOIN heap c ON c.parent = l.node AND c.node IN (SELECT node FROM live) GROUP BY l.node),
 stay AS (SELECT node FROM k WHERE n <> 1),
 up AS (SELECT c.node, min_by(ancestor, hops) AS parent, min_by(dist, hops) AS length FROM closure c WHERE hops > 0 AND c.node IN (SELECT node FROM stay) AND ancestor IN (SELECT node FROM stay) GROUP BY c.node)
-SELECT s.node, up.parent, round(up.length, 6) AS length FROM stay s LEFT JOIN up ON up.node = s.node"""
+SELECT s.node, coalesce(up.parent, 0) AS parent, round(up.length, 6) AS length FROM stay s LEFT JOIN up ON up.node = s.node"""
 )
 def drop_tip(spark, sf_dir):
     nodes = V.heap_tree(spark, sf_dir)
-    return T.drop_tips(nodes, T.with_children(nodes).where("is_tip and node % 3 = 0").select("label")).select("node", "parent", F.round("length", 6).alias("length"))
+    return T.drop_tips(nodes, T.with_children(nodes).where("is_tip and node % 3 = 0").select("label")).select("node", F.coalesce("parent", F.lit(0)).alias("parent"), F.round("length", 6).alias("length"))
 
 
 @query(
@@ -243,7 +243,7 @@ s AS (SELECT tree_id, split, sum(length) AS length FROM splits WHERE len(split)
 
 
 def _weeks(spark, sf_dir):
-    return V.caterpillars(spark, sf_dir)
+    return V.caterpillars(spark, sf_dir).cache()  # a tree set is read several times by each query
 
 
 @query(CENSUS + "SELECT array_to_string(clade, ',') AS clade, count(*) AS number FROM clades GROUP BY clade")

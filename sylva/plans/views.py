@@ -129,9 +129,9 @@ SQL = {
   SELECT node, node AS ancestor, 0 AS hops, CAST(0 AS DOUBLE) AS dist FROM {t}
   UNION ALL SELECT c.node, t.parent, c.hops + 1, c.dist + t.length FROM closure c JOIN {t} t ON t.node = c.ancestor WHERE t.parent IS NOT NULL)""",
     "weeks": """firsts AS (
-  SELECT user_id, date_trunc('week', ts) AS week, event_type, min({'a': ts, 'b': event_id}) AS at FROM events GROUP BY ALL
+  SELECT user_id, date_trunc('week', ts) AS week, event_type, min({'a': ts, 'b': event_id}) AS first_at FROM events GROUP BY ALL
 ), weeks AS (
-  SELECT user_id * 10000 + date_diff('day', DATE '2000-01-01', CAST(week AS DATE)) // 7 AS tree_id, list(event_type ORDER BY at) AS types
+  SELECT user_id * 10000 + date_diff('day', DATE '2000-01-01', CAST(week AS DATE)) // 7 AS tree_id, list(event_type ORDER BY first_at) AS types
   FROM firsts GROUP BY user_id, week HAVING count(*) = 5)""",
     "calendar": """types AS (
   SELECT event_type, row_number() OVER (ORDER BY event_type) AS r FROM (SELECT DISTINCT event_type FROM events)
