@@ -93,6 +93,11 @@ def _row(text: bytes, words: np.ndarray, at: np.ndarray) -> np.ndarray:
 N_FEATURES = 2 * len(_CLASSES) + 2 * len(_MARKS) + 13
 
 
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features in standard deviations, held within 5 so that a mark the training rows hardly know decides nothing alone."""
+    return np.clip((x - mean) / scale, -5, 5)
+
+
 @dataclass(frozen=True)
 class QualityModel:
     mean: np.ndarray
@@ -103,19 +108,19 @@ class QualityModel:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Scores from 0 to 1; the cut is at CUT."""
-        raw = ((x - self.mean) / self.scale) @ self.weight
+        raw = standard(x, self.mean, self.scale) @ self.weight
         z = np.clip((raw - self.cut) / self.spread, -30, 30) + np.log(CUT / (1 - CUT))
         return np.where(raw >= self.cut, np.maximum(1 / (1 + np.exp(-z)), CUT), np.minimum(1 / (1 + np.exp(-z)), CUT - 1e-12))
 
 
 def fit(x: np.ndarray, y: np.ndarray, *, pairs: int = 40_000, ridge: float = 3.0, steps: int = 25, seed: int = 11) -> QualityModel:
     """Bradley-Terry weights from ``pairs`` random pairs of a 1-labelled over a 0-labelled row."""
-    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
+    mean, scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 2e-3)) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     weight = np.zeros(x.shape[1])
     if not len(good) or not len(bad):
         return QualityModel(mean, scale, weight, 0.0, 1.0)
-    z = (x - mean) / scale
+    z = standard(x, mean, scale)
     rng = np.random.default_rng(seed)
     diff = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
     for _ in range(steps):
