@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import cut, groups_of, map_arrow, pick, utf8
+from sylva.llm.common import concat_frames, cut, groups_of, map_arrow, pick, utf8
 from sylva.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 40, 5
 #: Star rounds with new hubs before the rest of a bucket is compared in full.
 STAR_ROUNDS = 6
+#: Pairs per member of an open bucket that are tested at once without further stars.
+REST_PER_MEMBER = 8
 _PROBES = 16
 
 
@@ -112,17 +114,19 @@ def shingle_table(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b and any other columns) whose sets have 100 * intersection >= percent * union."""
     left = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return left.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return left.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select(pairs.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id of each connected component, for all ids of ``edges`` (a, b)."""
+    """(id, comp): the smallest id of each connected component, for all ids of ``edges`` (a, b).
+
+    Stops as soon as the edges are a forest of stars: every id hangs on one centre, and no centre hangs.
+    """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    while not _is_star_forest(edges):
         # large star: neighbours above u go to the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -131,10 +135,14 @@ def components(edges: DataFrame) -> DataFrame:
         least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
         below = edges.join(least, "u")
         edges = cut(below.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-        before = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether each end appears once below and never both below and above."""
+    role = edges.select(F.col("u").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    ends = role.groupBy("id").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return ends.where("below > 1 or (below > 0 and above > 0)").isEmpty()
 
 
 def _labelled(members: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -148,40 +156,64 @@ def _sized(a: str, b: str, percent: int):
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame | None:
-    """(id, comp) of the classes with a link; None if there is no candidate."""
+    """(id, comp) of the classes with a link; None if there is no candidate.
+
+    A round tests a star in each bucket that still spans two groups, groups being sets of members known to be connected.
+    When the pairs left to test are no more than a few for each member of the open buckets, or after ``STAR_ROUNDS`` rounds, all of
+    them are tested at once.
+    """
     members = classes.select("id", F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "key"))
     shared = cut(members.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1").select("band", "key"))
     members = cut(members.join(shared, ["band", "key"]))
-    if members.isEmpty():
-        return None
     wanted = cut(members.select("id").distinct())
+    if wanted.isEmpty():
+        return None
     sets = cut(shingle_table(docs.join(wanted, "id", "left_semi"), shingle).dropDuplicates(["id"]))
-    links, comp = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        own = _labelled(members, comp)
-        span = F.min("comp") < F.max("comp")
-        if turn < STAR_ROUNDS:
-            place = F.col("id") if not turn else F.xxhash64("id", F.lit(turn))
-            hubs = cut(own.groupBy("band", "key").agg(F.min(F.struct(place.alias("place"), "id", "comp", "n")).alias("hub"), span.alias("open")).where("open").select("band", "key", F.col("hub.id").alias("h"), F.col("hub.comp").alias("hc"), F.col("hub.n").alias("hn")))
-            own = own.join(hubs, ["band", "key"])
-            pairs = own.where("comp <> hc").where(_sized("n", "hn", percent)).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
-            members = cut(own.select("id", "n", "band", "key"))
-        else:
-            other = own.toDF(*[f"{c}2" if c in ("id", "n", "comp") else c for c in own.columns])
-            pairs = own.join(other, ["band", "key"]).where("id < id2 and comp <> comp2").where(_sized("n", "n2", percent)).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    own, links = members.withColumn("comp", F.col("id")), []
+    for turn in range(STAR_ROUNDS):
+        pairs, own = _star(own, turn, percent)
         found = cut(confirmed(pairs, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        if turn == STAR_ROUNDS:
-            return components(links)
-        comp = components(links)
-        if _rest(_labelled(members, comp)) == 0:
-            return comp
-
-
-def _rest(members: DataFrame) -> int:
-    """Pairs of one bucket and two components that no hub was part of: none in buckets of two members."""
-    size = members.groupBy("band", "key", "comp").agg(F.count("*").alias("k")).groupBy("band", "key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("q"))
-    return size.where("m > 2").agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0))).first()[0]
+        links.append(found.select("a", "b"))
+        own = cut(_regrouped(own, found))
+        n, rest = _rest(own)
+        if rest == 0:
+            break
+        if rest <= REST_PER_MEMBER * n or turn == STAR_ROUNDS - 1:
+            links.append(cut(confirmed(_all_pairs(own, percent), sets, percent)))
+            break
+    return components(concat_frames(links))
+
+
+def _star(own: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, with their groups hi > lo) of a hub and the members of its bucket in other groups, and the members of open buckets."""
+    place = F.col("id") if not turn else F.xxhash64("id", F.lit(turn))
+    buckets = own.groupBy("band", "key").agg(F.min(F.struct(place.alias("place"), "id", "comp", "n")).alias("hub"), (F.min("comp") < F.max("comp")).alias("open"))
+    hubs = cut(buckets.where("open").select("band", "key", F.col("hub.id").alias("h"), F.col("hub.comp").alias("hc"), F.col("hub.n").alias("hn")))
+    met = own.join(hubs, ["band", "key"])
+    ends = [F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"), F.greatest("comp", "hc").alias("hi"), F.least("comp", "hc").alias("lo")]
+    pairs = met.where("comp <> hc").where(_sized("n", "hn", percent)).select(*ends).distinct()
+    return pairs, met.select("id", "n", "band", "key", "comp")
+
+
+def _regrouped(own: DataFrame, found: DataFrame) -> DataFrame:
+    """The members with the groups that links join: each group takes on the least it is linked to, twice."""
+    least = cut(found.groupBy("hi").agg(F.min("lo").alias("lo")))
+    further = least.toDF("lo", "lower")
+    moved = cut(least.join(further, "lo", "left").select(F.col("hi").alias("comp"), F.coalesce("lower", "lo").alias("to")))
+    return own.join(moved, "comp", "left").select("id", "n", "band", "key", F.coalesce("to", "comp").alias("comp"))
+
+
+def _all_pairs(own: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket and two groups."""
+    other = own.toDF(*[f"{c}2" if c in ("id", "n", "comp") else c for c in own.columns])
+    return own.join(other, ["band", "key"]).where("id < id2 and comp <> comp2").where(_sized("n", "n2", percent)).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
+def _rest(own: DataFrame) -> tuple[int, int]:
+    """Members of open buckets, and the pairs of one bucket and two groups in buckets of more than two members."""
+    size = own.groupBy("band", "key", "comp").agg(F.count("*").alias("k")).groupBy("band", "key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("q"))
+    n, rest = size.where("m > 2 and q < m * m").agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()
+    return int(n or 0), int(rest or 0)
 
 
 def near_duplicates(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
