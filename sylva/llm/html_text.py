@@ -52,6 +52,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WHITE = re.compile(r"\s+")
+_TAG_START = re.compile(r"</?[a-zA-Z]|<!")
 #: Smoothing: kernel radius in lines and its deviation.
 RADIUS, SIGMA = 2, 1.0
 #: The threshold between the clusters, in standard deviations of the smoothed ratios.
@@ -179,6 +180,9 @@ def main_blocks(html: str | None) -> list[str]:
     """The blocks of the main text in page order."""
     if not html:
         return []
+    last = html.rfind("<")
+    if last >= 0 and html.find(">", last) < 0 and _TAG_START.match(html, last):
+        html = html[:last]  # the page ends inside of a tag
     parser = LineParser()
     parser.finish(html)
     lines = parser.lines
