@@ -5,8 +5,9 @@ for each run of text between block borders, with the number of tags the line hol
 around it. Each line has a ratio of text characters to tags; the ratios are smoothed with a Gaussian
 kernel over neighbouring lines and split into two clusters by a threshold at a multiple of their standard
 deviation. Lines of the upper cluster, outside of boilerplate elements, are seeds. The content region is
-the innermost content element that holds most of the seeds' text, and all of its lines outside of
-boilerplate elements are the main text, short ones too.
+the innermost container that holds all seeds, and all of its lines outside of boilerplate elements are the
+main text, short ones too. So are the lines around it, except menus without a mark: lines that are nothing
+but links, no heading, and whose own ratio lies in the lower cluster. Menus do not widen the region.
 
 Defined results: a null or empty page, and a page with no text outside of boilerplate, gives an empty
 text. A page without any tag is one block. Unclosed and misnested elements close with the element around
@@ -35,6 +36,7 @@ NEVER = frozenset(
     "aside audio button canvas dialog footer form head header iframe input menu nav noscript object optgroup option script select style svg "
     "template textarea title video".split()
 )
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINER = frozenset("article main section div td body blockquote".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NOISE = frozenset(
@@ -80,28 +82,33 @@ def _is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class LineParser(HTMLParser):
-    """Folds parser events into lines of (text, tags, noise, ids of open containers)."""
+    """Folds parser events into lines of (text, tags, noise, ids of open containers, whether all of it is links)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # element, noise here, container id or 0
+        self.lines: list[tuple[str, int, bool, tuple[int, ...], bool]] = []
+        self.stack: list[tuple[str, bool, int, bool]] = []  # element, noise here, container id or 0, link
         self.noise = 0
-        self.kinds = [""]
+        self.links = 0
+        self.containers = 0
         self.parts: list[str] = []
+        self.plain = False  # text outside of links
         self.tags = 0
 
     def _flush(self) -> None:
         if self.parts:
             text = _WHITE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.tags, self.noise > 0, tuple(x[2] for x in self.stack if x[2])))
+                linked = not self.plain and not any(x[0] in HEADING for x in self.stack)
+                self.lines.append((text, self.tags, self.noise > 0, tuple(x[2] for x in self.stack if x[2]), linked))
             self.parts = []
+            self.plain = False
         self.tags = 0
 
     def _pop(self) -> None:
-        _, noise, _ = self.stack.pop()
+        _, noise, _, link = self.stack.pop()
         self.noise -= noise
+        self.links -= link
 
     def handle_starttag(self, tag, attrs):
         block = tag in BLOCK
@@ -119,10 +126,12 @@ class LineParser(HTMLParser):
         noise = _is_noise(tag, attrs)
         number = 0
         if tag in CONTAINER:
-            number = len(self.kinds)
-            self.kinds.append(tag)
-        self.stack.append((tag, noise, number))
+            self.containers += 1
+            number = self.containers
+        link = tag == "a" and any(k == "href" for k, _ in attrs)
+        self.stack.append((tag, noise, number, link))
         self.noise += noise
+        self.links += link
 
     def _close(self, tag: str, these: set[str], stop: set[str] | frozenset[str]) -> None:
         """Close the nearest open element of ``these`` unless one of ``stop`` is nearer."""
@@ -154,6 +163,8 @@ class LineParser(HTMLParser):
 
     def handle_data(self, data):
         self.parts.append(data)
+        if not self.links and not data.isspace():
+            self.plain = True
 
     def finish(self, html: str) -> None:
         self.feed(html)
@@ -195,18 +206,11 @@ def main_blocks(html: str | None) -> list[str]:
     seeds = [i for i in clean if smooth[i] >= THRESHOLD * spread] or clean
     if not seeds:
         return []
-    weight: dict[int, int] = {}
-    for i in seeds:
-        for c in lines[i][3]:
-            weight[c] = weight.get(c, 0) + len(lines[i][0])
-    total = sum(len(lines[i][0]) for i in seeds)
-    # an article or main element with most of the seeds' text; else the innermost element that has them all but a tenth
-    marked = [c for c, w in weight.items() if parser.kinds[c] in ("article", "main") and 2 * w > total]
-    wide = [c for c, w in weight.items() if 10 * w >= 9 * total]
-    region = min(marked) if marked else max(wide, default=0)
-    if marked and (inner := [c for c in marked if parser.kinds[c] == "article"]):
-        region = min(inner)
-    return [lines[i][0] for i in clean if not region or region in lines[i][3]]
+    menu = {i for i in clean if lines[i][4] and len(lines[i][0]) / max(1, lines[i][1]) < THRESHOLD * spread}
+    told = [i for i in seeds if i not in menu] or seeds
+    around = set(lines[told[0]][3]).intersection(*(lines[i][3] for i in told))
+    region = max(around, default=0)  # the innermost, as it opened last
+    return [lines[i][0] for i in clean if not region or region in lines[i][3] or i not in menu]
 
 
 def main_text(html: str | None) -> str:

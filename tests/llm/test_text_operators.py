@@ -80,6 +80,26 @@ def test_main_text_edges(html, want):
     assert html_text.main_text(html) == want
 
 
+LONG = "A sentence of the story with quite a few words in it, and more. " * 5
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        (f"<body><h1>Title</h1><div class=post><p>{LONG}</p></div></body>", ["Title", LONG]),
+        (f"<body><h1>Title</h1><nav>menu</nav><nav>menu</nav><nav>menu</nav><p>By me</p><nav>menu</nav><nav>menu</nav><nav>menu</nav><div><p>{LONG}</p></div></body>", ["Title", "By me", LONG]),
+        (f"<body><div><p>Short intro.</p></div><div class=post><p>{LONG}</p><p>{LONG}</p></div></body>", ["Short intro.", LONG, LONG]),
+        (f"<main><article><p>{LONG}one</p></article><article><p>{LONG}</p></article></main>", [LONG + "one", LONG]),
+        (f"<main><article><p>{LONG}one</p></article><section><p>{LONG}</p></section></main>", [LONG + "one", LONG]),
+        (f"<body><article><p>{LONG}one</p></article><div><p>{LONG}</p></div></body>", [LONG + "one", LONG]),
+        (f"<body><a name=top><h1>Title</h1><div><p>{LONG}</p></div><div><a href=/x><p>{LONG}two</p></a></div></body>", ["Title", LONG, LONG + "two"]),
+        ("<body>" + "<ul><li><a href=/>Home</a></li></ul>" * 5 + f"<div><p>{LONG}</p><p><a href=/s>Source</a></p></div></body>", [LONG, "Source"]),
+    ],
+)
+def test_main_text_drops_no_block_but_boilerplate(html, want):
+    assert html_text.main_blocks(html) == [x.strip() for x in want]
+
+
 def test_extract_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "w", "<p>z</p>" * 3000, "z")], "page_id long, url string, html string, text string")
     out = {r.page_id: r for r in html_text.extract(pages).collect()}
