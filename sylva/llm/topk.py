@@ -8,14 +8,22 @@ below the k-th best score so far, which makes the result exact.
 Queries are sent to the candidates in blocks of ``QUERY_BLOCK`` vectors; each block is a pass over all
 candidates, and each task returns at most k rows a query.
 
+Bounds and scores of vectors whose integers are small enough are exact in floating point. Other vectors are never pivots; their
+scores are estimated in floating point after scaling by powers of two, and computed in whole numbers of any size where the
+estimate and its largest error reach the k-th best score so far.
+
 Vectors become integers: floor(1024 * x) of each component. Defined results: vectors that are null, empty, hold a null or a
-non-finite component, or an integer beyond 2**30, and rows with a null id take no part. Only vectors of the query's length are
+non-finite component, and rows with a null id take no part. Ranks follow the exact scores; a score beyond a long is returned as
+the nearest long. Only vectors of the query's length are
 compared with it. A row with the query's own id is no candidate of it; other repeated rows are candidates of their own.
 A repeated query id is asked once, with its smallest vector. Ties go to the smaller id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,43 +36,87 @@ QUERY_BLOCK = 16_384
 PIVOTS = 48
 SEED_ROWS = 512
 _STEP = 64
+LEAST, MOST = -(2**63), 2**63 - 1
+
+
+def integers(vectors: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x); infinite where that exceeds a double."""
+    with np.errstate(over="ignore"):
+        return np.floor(np.asarray(vectors, np.float64) * SCALE)
+
+
+def whole(vector: np.ndarray) -> list[int]:
+    """floor(SCALE * x) in Python's integers, for any finite x."""
+    return [int(v) * SCALE if abs(v) >= 2.0**53 else math.floor(v * SCALE) for v in vector.tolist()]
+
 
+def is_small(x: np.ndarray) -> np.ndarray:
+    """Rows of integers whose sums and distances with each other are exact in floating point."""
+    return np.abs(x).max(axis=1) <= math.sqrt(2.0**50 / x.shape[1])
 
-def integers(vectors: list) -> np.ndarray:
-    return np.floor(np.array(vectors, np.float64) * SCALE)
+
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of floor(SCALE * x), divided by powers of two to lie in [-1, 1], and the exponents."""
+    x = np.floor(vectors * float(SCALE), where=np.abs(vectors) < 2.0**53, out=vectors * 1.0)
+    shift = np.where(np.abs(vectors) < 2.0**53, 0, SCALE.bit_length() - 1)
+    top = (np.frexp(x)[1] + shift).max(axis=1)
+    return np.ldexp(x, shift - top[:, None]), top
+
+
+def rest_of(score: int) -> bytes:
+    """What orders scores whose nearest longs are equal."""
+    if LEAST <= score <= MOST:
+        return b"\x80"
+    size = (abs(score).bit_length() + 7) // 8
+    if score > 0:
+        return b"\x81" + size.to_bytes(4, "big") + score.to_bytes(size, "big")
+    return b"\x7f" + bytes(255 - b for b in size.to_bytes(4, "big") + (-score).to_bytes(size, "big"))
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    whole = F.expr(f"vec is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < {2**20})")
-    return rows.where(F.col("id").isNotNull() & whole)
+    finite = F.expr("vec is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
+    return rows.where(F.col("id").isNotNull() & finite)
 
 
 class Block:
-    """Queries of one length with their pivot distances and their best scores so far."""
+    """Queries of one length with their pivot distances and their best scores so far.
+
+    ``raw`` are the vectors as given; without it all are small."""
 
-    def __init__(self, ids: list[int], vectors: np.ndarray, pivots: np.ndarray, seed_ids: np.ndarray, seed: np.ndarray, k: int) -> None:
+    def __init__(self, ids: list[int], vectors: np.ndarray, pivots: np.ndarray, seed_ids: np.ndarray, seed: np.ndarray, k: int, raw: np.ndarray | None = None) -> None:
         self.ids, self.vectors, self.pivots, self.k = np.array(ids), vectors, pivots, k
-        self.norm = (vectors**2).sum(axis=1)
-        self.to_pivots = distances(vectors, pivots)
+        self.raw = vectors / SCALE if raw is None else raw
+        self.small = is_small(vectors)
+        self.scaled, self.exponent = scaled(self.raw)
+        self.whole: dict[int, list[int]] = {}
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.norm = (vectors**2).sum(axis=1)
+            self.to_pivots = distances(vectors, pivots)
         #: a score that k known rows reach, or none
         self.floor = np.full(len(ids), -np.inf)
         if len(seed):
-            for i, (q, own) in enumerate(zip(vectors, self.ids)):
-                s = np.sort((seed @ q)[seed_ids != own])
+            for i in np.flatnonzero(self.small):
+                s = np.sort((seed @ vectors[i])[seed_ids != self.ids[i]])
                 if len(s) >= k:
                     self.floor[i] = s[-k]
 
+    def whole_query(self, i: int) -> list[int]:
+        if i not in self.whole:
+            self.whole[i] = whole(self.raw[i])
+        return self.whole[i]
+
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * (a @ b.T)
     return np.sqrt(np.maximum(d, 0))
 
 
-def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer inner products; in floating point only where that is exact."""
-    if len(x) and np.abs(x).max() * np.abs(q).max() * len(q) < 2.0**52:
-        return (x @ q).astype(np.int64)
-    return x.astype(np.int64) @ q.astype(np.int64)
+def at_most(score: int) -> float:
+    """The score, or a double below it."""
+    try:
+        return math.nextafter(float(score), -math.inf) if abs(score) >= 2**53 else float(score)
+    except OverflowError:
+        return -math.inf if score < 0 else math.nextafter(math.inf, 0)
 
 
 class Search:
@@ -76,11 +128,30 @@ class Search:
         self.floor = block.floor.copy()
         self.evaluated = 0
 
-    def offer(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def _take(self, i: int, found: list[tuple[int, int]]) -> None:
+        merged = sorted(self.best[i] + found)[: self.block.k]
+        self.best[i] = merged
+        if len(merged) == self.block.k:
+            self.floor[i] = max(self.floor[i], at_most(-merged[-1][0]))
+
+    def offer(self, ids: np.ndarray, x: np.ndarray, raw: np.ndarray | None = None) -> None:
+        """Candidates as integers and, unless all are small, as given."""
+        small = is_small(x)
+        raw = x / SCALE if raw is None else raw
+        if self.block.small.any():
+            self._offer_small(ids[small], x[small])
+        large = np.flatnonzero(~self.block.small)
+        if len(large):
+            self._offer_large(large, ids, raw)
+        if not small.all():
+            self._offer_large(np.flatnonzero(self.block.small), ids[~small], raw[~small])
+
+    def _offer_small(self, ids: np.ndarray, x: np.ndarray) -> None:
         b = self.block
         table = distances(x, b.pivots)
         norm = (x**2).sum(axis=1)
-        for i, q in enumerate(b.vectors):
+        for i in np.flatnonzero(b.small):
+            q = b.vectors[i]
             low = np.abs(table - b.to_pivots[i]).max(axis=1) if len(b.pivots) else np.zeros(len(x))
             bound = (norm + b.norm[i] - low**2) / 2
             bound += 1 + 1e-9 * (norm + b.norm[i])  # rounding
@@ -91,13 +162,27 @@ class Search:
                 if bound[at[0]] < self.floor[i]:
                     break
                 self.evaluated += len(at)
-                score = exact_scores(x[at], q)
+                score = x[at] @ q
                 good = score >= self.floor[i]
                 if good.any():
-                    merged = sorted(self.best[i] + [(-int(v), int(j)) for v, j in zip(score[good], ids[at][good])])[: b.k]
-                    self.best[i] = merged
-                    if len(merged) == b.k:
-                        self.floor[i] = max(self.floor[i], -merged[-1][0])
+                    self._take(i, [(-int(v), int(j)) for v, j in zip(score[good], ids[at][good])])
+
+    def _offer_large(self, queries: np.ndarray, ids: np.ndarray, raw: np.ndarray) -> None:
+        b, n = self.block, raw.shape[1]
+        x, exponent = scaled(raw)
+        exact: dict[int, list[int]] = {}
+        for i in queries:
+            upper = x @ b.scaled[i] + (n + 1) * n * 2.0**-52  # no sum is further off
+            with np.errstate(over="ignore"):
+                bound = np.ldexp(upper, exponent + b.exponent[i])
+            open_ = np.flatnonzero((bound >= self.floor[i]) & (ids != b.ids[i]))
+            for j in open_[np.argsort(-bound[open_], kind="stable")].tolist():
+                if bound[j] < self.floor[i]:
+                    break
+                self.evaluated += 1
+                if j not in exact:
+                    exact[j] = whole(raw[j])
+                self._take(i, [(-sum(map(operator.mul, exact[j], b.whole_query(i))), int(ids[j]))])
 
 
 def _seed(rows: DataFrame) -> list:
@@ -121,7 +206,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", emb
         if len(pending) < block_size:
             break
         parts[-1] = cut(parts[-1])
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("rest"), "id")
     ranked = concat_frames(parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(vec_id), "score")
 
@@ -136,7 +221,9 @@ def _pass(spark, rows: DataFrame, asked: list, seed: list, k: int) -> DataFrame:
         searches = {}
         for n, ids, vecs, known in shared.value:
             s = integers([v for _, v in known]) if known else np.zeros((0, n))
-            searches[n] = Search(Block(ids, integers(vecs), s[:PIVOTS], np.array([i for i, _ in known]), s, k))
+            small, raw = is_small(s), np.array(vecs, np.float64)
+            s, known_ids = s[small], np.array([i for i, _ in known], np.int64)[small]
+            searches[n] = Search(Block(ids, integers(raw), s[:PIVOTS], known_ids, s, k, raw))
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             column = batch.column(1)
@@ -146,10 +233,12 @@ def _pass(spark, rows: DataFrame, asked: list, seed: list, k: int) -> DataFrame:
             for n, search in searches.items():
                 at = np.flatnonzero(lengths == n)
                 if len(at):
-                    x = np.floor(flat[starts[at][:, None] + np.arange(n)] * SCALE)
-                    search.offer(ids[at], x)
+                    raw = flat[starts[at][:, None] + np.arange(n)]
+                    search.offer(ids[at], integers(raw), raw)
         for search in searches.values():
             out = [(int(q), i, -s) for q, best in zip(search.block.ids, search.best) for s, i in best]
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], ["query_id", "id", "score"])
+            longs = [pa.array([x[j] for x in out], pa.int64()) for j in range(2)]
+            score = pa.array([min(max(x[2], LEAST), MOST) for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([*longs, score, pa.array([rest_of(x[2]) for x in out], pa.binary())], ["query_id", "id", "score", "rest"])
 
-    return map_arrow(rows.select(F.col("id").cast("long").alias("id"), "vec"), run, "query_id long, id long, score long")
+    return map_arrow(rows.select(F.col("id").cast("long").alias("id"), "vec"), run, "query_id long, id long, score long, rest binary")

@@ -1,5 +1,7 @@
+import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 
@@ -78,6 +80,29 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert topk.top_k(df.limit(0), asked.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(4)
+    vectors = [rng.normal(size=6) for _ in range(60)] + [rng.normal(size=6) * 10.0 ** float(e) for e in rng.uniform(3, 300, 60)]
+    vectors += [np.array([2.0**20, 0, 0, 0, 0, 0]), np.array([2.0**40, 1, 0, 0, 0, 0]), np.array([2.0**40, 1 + 2.0**-10, 0, 0, 0, 0]), np.full(6, 1.7e308), np.full(6, -1.7e308), np.full(6, 5e-324)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    rows += [(200 + i, rows[i][1]) for i in range(0, 126, 5)]  # ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    ints = {i: [math.floor(Fraction(x) * 1024) for x in v] for i, v in rows}
+    want = set()
+    for q in (i for i in ints if i % 10 == 0):
+        s = sorted((-sum(x * y for x, y in zip(ints[q], b)), i) for i, b in ints.items() if i != q)[:7]
+        want |= {(q, r + 1, i, min(max(-v, -(2**63)), 2**63 - 1)) for r, (v, i) in enumerate(s)}
+    for size in (1000, 4):
+        got = topk.top_k(df, df.where("vec_id % 10 = 0"), k=7, block_size=size).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_rest_orders_scores_beyond_a_long():
+    scores = sorted([s * (2**e + d) for e in (62, 63, 64, 100, 3000) for d in (-1, 0, 1) for s in (1, -1)] + [0])
+    keys = [(min(max(s, topk.LEAST), topk.MOST), topk.rest_of(s)) for s in scores]
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
+
+
 def test_bounds_skip_work():
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(20, 8)) * 5
