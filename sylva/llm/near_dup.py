@@ -8,12 +8,15 @@
    become pairs.
 3. Each bucket links its members to one hub (a star), not to each other. Links are confirmed on the full
    sets. Buckets whose members lie in more than one group get further hubs. Of what is left then, all pairs of a bucket and two
-   groups whose signatures could belong to a link are confirmed as well, so every pair of a bucket is either confirmed, refuted or
-   already connected.
+   groups are confirmed as well, but for those whose sketches prove that their sets differ too much, so every pair of a bucket is
+   either confirmed, refuted or already connected. A sketch has one bit for each of SKETCH_BITS values of a hash, the parity of
+   the number of shingles with that value. A shingle that only one set has changes one bit, so two sketches differ in no more bits than
+   there are such shingles.
 4. Components come from alternating star contraction, with each step written to the shared folder.
 
-A pair of similarity s shares no bucket with probability (1 - s**rows)**bands: 1.2e-7 at 0.8 with the
-defaults, and less above; its signatures differ in more values than are let through with about 1e-6.
+A pair of similarity s shares no bucket with probability (1 - s**rows)**bands if the values of its signatures are
+independent: 1.2e-7 at 0.8 with the defaults, and less above. Sets of fewer shingles than bins repeat values, which makes
+that more likely. No pair that shares a bucket is lost.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing.
 A null id is linked with nothing and has a null component and ``kept`` false. Repeated rows of one id
@@ -36,8 +39,8 @@ from sylva.llm.shingles import mix, shingle_sets
 BANDS, ROWS = 40, 5
 #: Star rounds with new hubs before the rest of a bucket is compared in full.
 STAR_ROUNDS = 3
-#: Bits kept of each value of a signature, to compare signatures of candidates before their sets.
-NIBBLE = 4
+#: Bits of a sketch, which refutes pairs before their sets are compared.
+SKETCH_BITS = 1024
 #: Pairs per member of an open bucket that are tested at once without further stars.
 REST_PER_MEMBER = 8
 _PROBES = 16
@@ -81,36 +84,33 @@ class Sketcher:
         bands = signature.reshape(self.bands, self.rows)
         return mix(mix(bands * self.salt).sum(axis=1, dtype=np.uint64) + self.tag).view(np.int64)
 
-    def packed(self, signature: np.ndarray) -> np.ndarray:
-        """NIBBLE bits of each value, packed into longs."""
-        per = 64 // NIBBLE
-        low = np.zeros(-(-self.bins // per) * per, np.uint64)
-        low[: self.bins] = mix(signature) & np.uint64((1 << NIBBLE) - 1)
-        shifts = np.arange(per, dtype=np.uint64) * np.uint64(NIBBLE)
-        return np.bitwise_or.reduce(low.reshape(-1, per) << shifts, axis=1).view(np.int64)
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parity of the number of hashes with each value of their last bits, packed into longs."""
+    counts = np.bincount((hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 def prints(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """id, n_shingles, digest of the set (two longs), bucket keys and packed signature (null for an empty set)."""
+    """id, n_shingles, digest of the set (two longs), bucket keys and sketch (null for an empty set)."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         sketcher = Sketcher(bands, rows)
         for batch in batches:
             texts = utf8(batch.column(1))
-            n, d1, d2, keys, sigs = [], [], [], [], []
+            n, d1, d2, keys, sketches = [], [], [], [], []
             for i, j in groups_of(texts):
                 for s in shingle_sets(texts[i:j], shingle):
                     n.append(len(s))
                     digest = blake2b(s.tobytes(), digest_size=16).digest()
                     d1.append(int.from_bytes(digest[:8], "little", signed=True))
                     d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                    signature = sketcher.signature(s) if len(s) else None
-                    keys.append(sketcher.keys(signature) if len(s) else None)
-                    sigs.append(sketcher.packed(signature) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], ["id", "n_shingles", "d1", "d2", "keys", "sig"])
+                    keys.append(sketcher.keys(sketcher.signature(s)) if len(s) else None)
+                    sketches.append(sketch(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["id", "n_shingles", "d1", "d2", "keys", "sketch"])
 
-    return map_arrow(docs, run, f"id {id_type}, n_shingles long, d1 long, d2 long, keys array<long>, sig array<long>")
+    return map_arrow(docs, run, f"id {id_type}, n_shingles long, d1 long, d2 long, keys array<long>, sketch array<long>")
 
 
 def shingle_table(docs: DataFrame, shingle: int) -> DataFrame:
@@ -169,7 +169,7 @@ def _sized(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int, bins: int) -> DataFrame | None:
+def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame | None:
     """(id, comp) of the classes with a link; None if there is no candidate.
 
     A round tests a star in each bucket that still spans two groups, groups being sets of members known to be connected.
@@ -183,7 +183,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int
     if wanted.isEmpty():
         return None
     sets = cut(shingle_table(docs.join(wanted, "id", "left_semi"), shingle).dropDuplicates(["id"]))
-    marks = cut(classes.join(wanted, "id", "left_semi").select("id", "keys", "sig"))
+    marks = cut(classes.join(wanted, "id", "left_semi").select("id", "keys", "sketch"))
     own, links = members.withColumn("comp", F.col("id")), []
     for turn in range(STAR_ROUNDS):
         pairs, own = _star(own, turn, percent)
@@ -194,7 +194,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int
         if rest == 0:
             break
         if rest <= REST_PER_MEMBER * n or turn == STAR_ROUNDS - 1:
-            links.append(cut(confirmed(_all_pairs(own, marks, percent, bins), sets, percent)))
+            links.append(cut(confirmed(_all_pairs(own, marks, percent), sets, percent)))
             break
     return components(concat_frames(links))
 
@@ -218,32 +218,20 @@ def _regrouped(own: DataFrame, found: DataFrame) -> DataFrame:
     return own.join(moved, "comp", "left").select("id", "n", "band", "key", F.coalesce("to", "comp").alias("comp"))
 
 
-def most_mismatches(percent: int, bins: int) -> int:
-    """Values in which packed signatures differ at most, five deviations above the mean for a pair at the threshold."""
-    p = (1 - percent / 100) * (1 - 2.0**-NIBBLE)
-    return int(np.ceil(bins * p + 5 * np.sqrt(bins * p * (1 - p))))
-
-
-def _mismatches(a: str, b: str):
-    """Number of values in which two packed signatures differ."""
-    ones = sum(1 << (NIBBLE * i) for i in range(64 // NIBBLE))
-
-    def differ(x, y):
-        z = x.bitwiseXOR(y)
-        for k in range(NIBBLE.bit_length() - 1):
-            z = z.bitwiseOR(F.shiftrightunsigned(z, 1 << k))
-        return F.bit_count(z.bitwiseAND(F.lit(ones)))
-
-    return F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda s, v: s + v)
+def _may_link(percent: int):
+    """False only where sketches prove that a pair is no link: its sets have at most (100 - percent) / (100 + percent) of
+    their n + n2 shingles in one of them only."""
+    bits = F.aggregate(F.zip_with("sketch", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    return bits * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)
 
 
-def _all_pairs(own: DataFrame, marks: DataFrame, percent: int, bins: int) -> DataFrame:
-    """Pairs of one bucket and two groups whose signatures are alike, each from the first band that the two share."""
+def _all_pairs(own: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket and two groups that their sketches do not refute, each from the first band that the two share."""
     rows = own.join(marks, "id")
     other = rows.toDF(*[c if c in ("band", "key") else f"{c}2" for c in rows.columns])
     first_shared = F.array_position(F.zip_with("keys", "keys2", lambda x, y: x == y), True) - 1
     met = rows.join(other, ["band", "key"])
-    apart = met.where("id < id2 and comp <> comp2").where(_sized("n", "n2", percent)).where(_mismatches("sig", "sig2") <= most_mismatches(percent, bins)).where(first_shared == F.col("band"))
+    apart = met.where("id < id2 and comp <> comp2").where(_sized("n", "n2", percent)).where(_may_link(percent)).where(first_shared == F.col("band"))
     return apart.select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
@@ -259,8 +247,8 @@ def near_duplicates(docs: DataFrame, *, row_id: str = "doc_id", text: str = "tex
     own = pick(docs, row_id, text).toDF("id", "text")
     seen = cut(prints(own, shingle, bands, rows))
     linked = seen.where("id is not null and n_shingles > 0")
-    classes = cut(linked.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
-    comp = link_classes(classes, own.where("id is not null"), shingle, percent, bands * rows)
+    classes = cut(linked.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    comp = link_classes(classes, own.where("id is not null"), shingle, percent)
     named = cut(_labelled(classes.select("d1", "d2", "id"), comp).select("d1", "d2", "comp"))
     out = seen.join(named, ["d1", "d2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("comp")).otherwise(F.col("id"))

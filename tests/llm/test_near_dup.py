@@ -65,6 +65,44 @@ def test_stars_alone_do_not_decide(spark):
     assert got == {k: v[1] for k, v in brute(rows, 2).items()}
 
 
+def _pairs_let_through(spark, sets):
+    """Pairs of one bucket and of groups of their own, by the values of the shingles' hashes."""
+    sketcher = near_dup.Sketcher(near_dup.BANDS, near_dup.ROWS)
+    own, marks = [], []
+    for k, s in enumerate(sets):
+        keys = sketcher.keys(sketcher.signature(s)).tolist()
+        own += [(k, len(s), b, key, k) for b, key in enumerate(keys)]
+        marks.append((k, keys, near_dup.sketch(s).tolist()))
+    own = spark.createDataFrame(own, "id long, n long, band int, key long, comp long")
+    marks = spark.createDataFrame(marks, "id long, keys array<long>, sketch array<long>")
+    return {(r.a, r.b) for r in near_dup._all_pairs(own, marks, 80).collect()}
+
+
+def test_no_link_of_a_bucket_is_refuted_by_sketches(spark):
+    """Short sets repeat the values of few shingles: at the threshold, signatures differ more than independent values would."""
+    rng = np.random.default_rng(8)
+    sketcher = near_dup.Sketcher(near_dup.BANDS, near_dup.ROWS)
+    sets = []
+    while len(sets) < 6:
+        union = rng.integers(0, 2**63, 5, dtype=np.uint64) * np.uint64(2)
+        a, b = np.sort(union), np.sort(union[:4])
+        x, y = sketcher.signature(a), sketcher.signature(b)
+        if (x != y).sum() > 68 and (sketcher.keys(x) == sketcher.keys(y)).any():
+            sets += [a, b]
+    found = _pairs_let_through(spark, sets)
+    assert {(0, 1), (2, 3), (4, 5)} <= found
+
+
+def test_sketches_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(9)
+    for size in (1, 5, 200, 4000):
+        base = rng.integers(0, 2**63, size * 2, dtype=np.uint64)
+        for _ in range(20):
+            a, b = (rng.choice(base, rng.integers(1, size + 1), replace=False) for _ in range(2))
+            differ = np.bitwise_count((near_dup.sketch(a) ^ near_dup.sketch(b)).view(np.uint64)).sum()
+            assert differ <= len(np.setxor1d(a, b))
+
+
 def test_edge_cases(spark):
     empty = documents(spark, []).limit(0)
     assert near_dup.near_duplicates(empty).count() == 0
