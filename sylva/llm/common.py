@@ -42,23 +42,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder all executors share, spark.checkpoint.dir. Where it is unset, a temporary one of a session that runs on this machine alone."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         path = tempfile.mkdtemp(prefix="sylva-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", path)
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+class Scratch:
+    """Tables that one operator writes into the shared folder, each removed when nothing needs it any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.written: list[tuple[DataFrame, str]] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` as Parquet and read it back, which cuts its lineage."""
+        path = f"{shared_dir(self.spark)}/cut-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.written.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Remove the tables of ``frames``, which ``cut`` returned, as what is made of them has been written."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for out, path in self.written:
+            if any(out is x for x in frames):
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+        self.written = [x for x in self.written if not any(x[0] is y for y in frames)]
+
+    def replaced(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """The table of ``new``, which is made of ``old``; that of ``old`` goes."""
+        out = self.cut(new)
+        self.drop(old)
+        return out
+
+    def close(self, *kept: DataFrame) -> None:
+        """Remove all tables but those of ``kept``, which the result reads."""
+        self.drop(*[x for x, _ in self.written if not any(x is y for y in kept)])
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage. The result reads it, so it stays."""
+    return Scratch(df.sparkSession).cut(df)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sylva.llm import near_dup, shingles
+from sylva.llm.common import Scratch
 from tests.llm.helpers import documents, sentence
 
 
@@ -65,32 +66,26 @@ def test_stars_alone_do_not_decide(spark):
     assert got == {k: v[1] for k, v in brute(rows, 2).items()}
 
 
-def _pairs_let_through(spark, sets):
-    """Pairs of one bucket and of groups of their own, by the values of the shingles' hashes."""
-    sketcher = near_dup.Sketcher(near_dup.BANDS, near_dup.ROWS)
-    own, marks = [], []
-    for k, s in enumerate(sets):
-        keys = sketcher.keys(sketcher.signature(s)).tolist()
-        own += [(k, len(s), b, key, k) for b, key in enumerate(keys)]
-        marks.append((k, keys, near_dup.sketch(s).tolist()))
-    own = spark.createDataFrame(own, "id long, n long, band int, key long, comp long")
-    marks = spark.createDataFrame(marks, "id long, keys array<long>, sketch array<long>")
-    return {(r.a, r.b) for r in near_dup._all_pairs(own, marks, 80).collect()}
+def _pairs_let_through(sets, percent=80):
+    n = np.array([len(s) for s in sets])
+    return set(near_dup.close_pairs(n, np.arange(len(sets)), np.zeros(len(sets)), [near_dup.sketch(s) for s in sets], percent))
 
 
-def test_no_link_of_a_bucket_is_refuted_by_sketches(spark):
-    """Short sets repeat the values of few shingles: at the threshold, signatures differ more than independent values would."""
+def _true_pairs(sets, percent=80):
+    return {(max(i, j), min(i, j)) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
+
+
+def test_no_link_of_a_bucket_is_refuted_by_sketches():
+    """Sets of all sizes around the threshold, of several widths of sketches."""
     rng = np.random.default_rng(8)
-    sketcher = near_dup.Sketcher(near_dup.BANDS, near_dup.ROWS)
-    sets = []
-    while len(sets) < 6:
-        union = rng.integers(0, 2**63, 5, dtype=np.uint64) * np.uint64(2)
-        a, b = np.sort(union), np.sort(union[:4])
-        x, y = sketcher.signature(a), sketcher.signature(b)
-        if (x != y).sum() > 68 and (sketcher.keys(x) == sketcher.keys(y)).any():
-            sets += [a, b]
-    found = _pairs_let_through(spark, sets)
-    assert {(0, 1), (2, 3), (4, 5)} <= found
+    for percent in (80, 30):
+        sets = []
+        for size in (5, 64, 65, 130, 700, 9000):
+            union = rng.integers(0, 2**63, size * 2, dtype=np.uint64) * np.uint64(2)
+            sets += [np.sort(union[:size])] + [np.sort(union[size * k // 40 : size * k // 40 + size]) for k in (1, 3, 4, 5, 8, 20)] + [np.sort(union[: size * 4 // 5]), np.sort(union[: size // 3])]
+        got = {(max(p), min(p)) for p in _pairs_let_through(sets, percent)}
+        want = _true_pairs(sets, percent)
+        assert want <= got and len(got) < (1.6 if percent == 80 else 2) * len(want)
 
 
 def test_sketches_differ_in_no_more_than_the_sets():
@@ -99,8 +94,45 @@ def test_sketches_differ_in_no_more_than_the_sets():
         base = rng.integers(0, 2**63, size * 2, dtype=np.uint64)
         for _ in range(20):
             a, b = (rng.choice(base, rng.integers(1, size + 1), replace=False) for _ in range(2))
-            differ = np.bitwise_count((near_dup.sketch(a) ^ near_dup.sketch(b)).view(np.uint64)).sum()
-            assert differ <= len(np.setxor1d(a, b))
+            both = near_dup.Sketches([near_dup.sketch(a), near_dup.sketch(b)])
+            w = int(both.width.min())
+            x, y = (both.at(int(v), w)[both.place[k]] for k, v in enumerate(both.width))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_blocks_of_a_large_bucket_meet_once(spark):
+    """Every pair of different groups is compared in one block at least, and no pair twice."""
+    rng = np.random.default_rng(5)
+    sets = {}
+    for k in range(90):
+        base = np.arange(40, dtype=np.uint64) * np.uint64(7919) + np.uint64(1 << 40)
+        sets[k] = np.sort(np.concatenate([base, rng.integers(0, 2**62, int(rng.integers(0, 6)), dtype=np.uint64)]))
+    comp = {k: 0 if k < 60 else 60 + k % 7 for k in sets}
+    table = spark.createDataFrame([(k, len(s), s.view(np.int64).tolist(), near_dup.sketch(s)) for k, s in sets.items()], "id long, n long, shingles array<long>, sketch binary")
+    members = spark.createDataFrame([(1, k, comp[k]) for k in sets] + [(2, k, 0) for k in range(5)], "key long, id long, comp long")
+    want = {(i, j) for i in sets for j in sets if i > j and comp[i] != comp[j]}
+    for block in (4, 16, 1000):
+        assert {(r.a, r.b) for r in near_dup.open_pairs(members, table, 30, block).collect()} == want
+        dealt = near_dup.blocks_of(members, block).groupBy("key", "i", "j", "side").count().collect()
+        assert block == 1000 or max(r["count"] for r in dealt) < 4 * block
+        assert not any(r.key == 2 for r in dealt)
+
+
+def test_different_texts_of_one_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words[:30]), " ".join(words[30:])
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (8, "x y z")]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(spark, rows), shingle=2).collect()}
+    assert got == {5: 5, 6: 5, 7: 5, 8: 8}
+
+
+def test_temporary_tables_are_removed(spark):
+    import glob
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{folder}/cut-*"))
+    near_dup.near_duplicates(documents(spark, corpus()), shingle=2).count()
+    assert len(set(glob.glob(f"{folder}/cut-*")) - before) == 2
 
 
 def test_edge_cases(spark):
@@ -137,5 +169,5 @@ def test_signature_agreement_estimates_similarity():
 
 def test_components_of_a_long_path(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.range(100, 105).select(F.col("id").alias("a"), F.lit(110).cast("long").alias("b")))
-    comp = {r.id: r.comp for r in near_dup.components(edges).collect()}
+    comp = {r.id: r.comp for r in near_dup.components(edges, Scratch(spark)).collect()}
     assert all(comp[i] == 0 for i in range(1, 61)) and all(comp[i] == 100 for i in (101, 102, 103, 104, 110))
