@@ -1,6 +1,10 @@
 import hashlib
+import os
 import random
+import re
+import time
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -100,6 +104,53 @@ def test_main_text_drops_no_block_but_boilerplate(html, want):
     assert html_text.main_blocks(html) == [x.strip() for x in want]
 
 
+SIDE = "".join(f"<div>{w}</div>" for w in ("Weather", "Oslo 12", "Polls", "Top rated"))
+LINKS = "<div><div>See also</div>" + "".join(f"<div><a href=/{k}>Item {k}</a></div>" for k in range(6)) + "</div>"
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        (f"<body>{LINKS}<div><h1>Title</h1><p>{LONG}</p><div>Short.</div><div>Oslo</div></div></body>", ["Title", LONG, "Short.", "Oslo"]),
+        (f"<body><div>{SIDE}</div><div><p>{LONG}</p><p>{LONG}</p></div></body>", [LONG, LONG]),
+        (f"<body><div><p>{LONG}</p></div><div>{SIDE}</div>{LINKS}</body>", [LONG]),
+    ],
+)
+def test_clusters_select_regions_without_marks(html, want, monkeypatch):
+    assert html_text.main_blocks(html) == [x.strip() for x in want]
+    monkeypatch.setattr(html_text, "smoothed_ratios", lambda lines: [1.0] * len(lines))
+    monkeypatch.setattr(html_text, "THRESHOLD", 0.0)
+    assert html_text.main_blocks(html) != [x.strip() for x in want]  # without ratios nothing is told apart
+
+
+def plain_blocks(html):
+    """Another way to the text of pages whose boilerplate is all in elements of its own: regular expressions on whole elements."""
+    html = re.sub(r"(?s)<!--.*?-->|<(script|style|title|nav|footer)\b.*?</\1>|<div class=.ad.>.*?</div>", "", html)
+    blocks = re.split(r"</?(?:html|head|body|article|p|h1|ul|li|div|meta|!DOCTYPE)\b[^>]*>", html)
+    texts = [re.sub(r"\s+", " ", unescape(re.sub(r"<br>", " ", re.sub(r"</?(?:b|a)\b[^>]*>", "", b)))).strip() for b in blocks]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_pages_match_another_way():
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    pages = pq.read_table(path).to_pylist()
+    assert pages and all(html_text.main_text(r["html"]) == plain_blocks(r["html"] or "") for r in pages)
+
+
+def test_deep_and_cut_off_pages():
+    deep = "<div><b>" * 60_000 + LONG + "<p>x</i>" * 20_000
+    began = time.process_time()
+    blocks = html_text.main_blocks(deep)
+    assert time.process_time() - began < 20 and blocks[0] == LONG.strip() and blocks.count("x") == 20_000
+    assert html_text.main_text("<p>a</p><!-- c > d") == "a"
+    assert html_text.main_text("<p>a < b</p>c < d") == "a < b\n\nc < d"
+    assert html_text.main_text("<p>a</p><a href='x > y") == "a"
+
+
 def test_extract_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "w", "<p>z</p>" * 3000, "z")], "page_id long, url string, html string, text string")
     out = {r.page_id: r for r in html_text.extract(pages).collect()}
