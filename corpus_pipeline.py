@@ -30,24 +30,24 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id; repeated rows of an id count as one."""
-    plain, (row_id, _) = _numbered(docs)
+    """Keeps of each group of near duplicates the document with the smallest id; rows of an id with the same text count as one."""
+    plain, (row_id, text) = _numbered(docs)
     found = near_dup.near_duplicates(docs)
     # the smaller side decides: ids that go, and ids with more than one row
     gone = cut(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias(row_id)).distinct())
     repeated = cut(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(row_id)).count().where("count > 1").select(row_id))
     kept = plain.join(gone, row_id, "left_anti")
     if not repeated.isEmpty():
-        once = kept.join(repeated, row_id, "left_semi").dropDuplicates([row_id])
+        once = kept.join(repeated, row_id, "left_semi").dropDuplicates([row_id, text])
         kept = kept.join(repeated, row_id, "left_anti").unionByName(once)
     return kept.select(plain.columns).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents contaminated with benchmark passages."""
+    """Drops the documents with a benchmark passage, however long they are: n_hit > 0, without the share that makes ``contaminated``."""
     plain, (_, text) = _numbered(docs)
     marked = decontaminate.decontaminate(plain, table(spark, sf_dir, "benchmark"), text=text, keep=tuple(plain.columns))
-    return marked.where("not contaminated").select(plain.columns).toDF(*docs.columns)
+    return marked.where("n_hit = 0").select(plain.columns).toDF(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
