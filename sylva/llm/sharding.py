@@ -8,7 +8,8 @@ task draws the one row it needs and all tasks agree, without a matrix on the dri
 partition deals its rows out by a random arrangement of its counts, the rows are exchanged, and each
 target permutes what it has got. The result is a uniform permutation of the rows over shards and slots.
 
-A shard consists of blocks of at most ``BLOCK_ROWS`` rows, which are the targets, so no task holds a shard.
+A shard consists of blocks, which are the targets, so no task holds a shard. A block has ``BLOCK_ROWS`` rows at most, and more only
+where there would be more than ``MAX_TARGETS`` blocks; a target sorts what it gets and may spill.
 
 Shard sizes follow the law ``rows``: they differ by one at most, and the first shards are the larger ones.
 Defined results: a null text counts as an empty one. Null ids and repeated rows are dealt out like any
@@ -29,47 +30,56 @@ from pyspark.sql import functions as F
 from sylva.llm.common import cut, map_arrow, pick
 
 BLOCK_ROWS = 4096
+MAX_TARGETS = 8192
 _NUMPY_LIMIT = 10**9
 
 
+def _lgamma_ratio(a: float, b: float) -> float:
+    """log(gamma(a) / gamma(b)), without loss of digits where both are large."""
+    if min(a, b) < 1e5:
+        return math.lgamma(a) - math.lgamma(b)
+    return (b - 0.5) * math.log1p((a - b) / b) + (a - b) * (math.log(a) - 1) + (1 / a - 1 / b) / 12
+
+
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    """One exact draw; beyond numpy's range by inversion outwards from the mode."""
-    if good + bad < _NUMPY_LIMIT:
+    """One draw; beyond numpy's range by rejection from a ratio of uniforms around the mode (Stadlober)."""
+    total = good + bad
+    if total < _NUMPY_LIMIT:
         return int(rng.hypergeometric(good, bad, sample))
     lo, hi = max(0, sample - bad), min(good, sample)
-    mode = min(hi, max(lo, (sample + 1) * (good + 1) // (good + bad + 2)))
-    lg = math.lgamma
-    log_p = lg(good + 1) - lg(mode + 1) - lg(good - mode + 1) + lg(bad + 1) - lg(sample - mode + 1) - lg(bad - sample + mode + 1) - (lg(good + bad + 1) - lg(sample + 1) - lg(good + bad - sample + 1))
-    u = rng.random() - math.exp(log_p)
-    up = down = math.exp(log_p)
-    a = b = mode
-    while u > 0 and (a > lo or b < hi):
-        if b < hi:
-            up *= (good - b) * (sample - b) / ((b + 1) * (bad - sample + b + 1))
-            b += 1
-            u -= up
-            if u <= 0:
-                return b
-        if a > lo:
-            down *= a * (bad - sample + a) / ((good - a + 1) * (sample - a + 1))
-            a -= 1
-            u -= down
-            if u <= 0:
-                return a
-    return mode
+    if lo == hi:
+        return lo
+    mode = min(hi, max(lo, (sample + 1) * (good + 1) // (total + 2)))
+    mean = sample * (good / total)
+    spread = math.sqrt(mean * (bad / total) * ((total - sample) / (total - 1)) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        x = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if lo <= x <= hi:
+            log_ratio = _lgamma_ratio(mode + 1, x + 1) + _lgamma_ratio(good - mode + 1, good - x + 1) + _lgamma_ratio(sample - mode + 1, sample - x + 1) + _lgamma_ratio(bad - sample + mode + 1, bad - sample + x + 1)
+            if 2 * math.log(u) <= log_ratio:
+                return x
 
 
 def split(rng: np.random.Generator, columns: np.ndarray, sample: int) -> np.ndarray:
-    """How many of a sample of rows, drawn without replacement, come to each column."""
+    """How many of a sample of rows, drawn without replacement, come to each column: the columns are halved again and again."""
     total = int(columns.sum())
     if total < _NUMPY_LIMIT:
         return rng.multivariate_hypergeometric(columns, sample, method="marginals") if len(columns) > 1 else np.array([sample])
-    out = np.zeros_like(columns)
-    for i, c in enumerate(columns):
-        total -= int(c)
-        out[i] = hypergeometric(rng, int(c), total, sample)
-        sample -= int(out[i])
-    return out
+    if len(columns) == 1:
+        return np.array([sample])
+    mid = len(columns) // 2
+    good = int(columns[:mid].sum())
+    left = hypergeometric(rng, good, total - good, sample)
+    return np.concatenate([split(rng, columns[:mid], left), split(rng, columns[mid:], sample - left)])
+
+
+def dealt(matrix: Matrix, part: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The target of each row of a partition, and the key that the target sorts it by."""
+    counts = matrix.row(part)
+    rng = np.random.default_rng([seed, part, 1])
+    return rng.permutation(np.repeat(np.arange(len(counts), dtype=np.int32), counts)), rng.integers(0, 2**63 - 1, int(counts.sum()))
 
 
 class Matrix:
@@ -102,6 +112,7 @@ class Matrix:
 def target_sizes(n: int, shards: int, block_rows: int) -> list[tuple[int, int, int]]:
     """(shard, first slot, rows) of each target."""
     out = []
+    block_rows = max(block_rows, -(-n // MAX_TARGETS))
     for s in range(shards):
         rows = n // shards + (s < n % shards)
         blocks = max(1, -(-rows // block_rows))
@@ -137,17 +148,15 @@ def shard(rows: DataFrame, keep: tuple[str, ...], *, shards: int = 8, seed: int
             for p in np.unique(part):
                 if p not in order:
                     order.clear()
-                    counts = matrix.row(int(p))
-                    rng = np.random.default_rng([seed, int(p), 1])
-                    order[p] = (rng.permutation(np.repeat(np.arange(len(counts), dtype=np.int32), counts)), rng.integers(0, 2**63 - 1, int(counts.sum())))
+                    order[p] = dealt(matrix, int(p), seed)
                 at = part == p
                 target[at], key[at] = order[p][0][pos[at]], order[p][1][pos[at]]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), batch.column(1), pa.array(target), pa.array(key)], [*named, "part", "pos", "target", "key"])
 
     fixed = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in own.schema.fields)
-    dealt = map_arrow(held.select("part", "pos", *named), deal, f"{fixed}part int, pos long, target int, key long")
+    sent = map_arrow(held.select("part", "pos", *named), deal, f"{fixed}part int, pos long, target int, key long")
     where = spark.createDataFrame([(i, s, at) for i, (s, at, _) in enumerate(targets)], "target int, shard int, first long")
     inner = F.row_number().over(Window.partitionBy("target").orderBy("key", "part", "pos")) - 1
-    placed = dealt.repartition(len(targets), "target").withColumn("inner", inner)
+    placed = sent.repartition(len(targets), "target").withColumn("inner", inner)
     out = placed.join(F.broadcast(where) if len(targets) <= 100_000 else where, "target")
     return out.select(*[F.col(a).alias(b) for a, b in zip(named, keep)], "shard", (F.col("first") + F.col("inner")).cast("long").alias("slot"))

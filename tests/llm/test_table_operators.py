@@ -6,6 +6,7 @@ from fractions import Fraction
 import numpy as np
 
 from sylva.llm import chat, secrets, sharding, topk
+from sylva.llm.common import pick
 from tests.llm.helpers import documents
 
 
@@ -134,26 +135,48 @@ def test_matrix_has_the_margins_and_every_task_agrees():
     assert rows.sum(axis=1).tolist() == parts and rows.sum(axis=0).tolist() == targets and (rows >= 0).all()
 
 
-def test_placement_is_uniform():
-    counts = np.zeros((6, 2))
-    for seed in range(3000):
-        order = []
-        m = sharding.Matrix([2, 4], [3, 3], seed)
-        for p, n in ((0, 2), (1, 4)):
-            row = m.row(p)
-            order += list(np.random.default_rng([seed, p, 1]).permutation(np.repeat([0, 1], row)))
-        for i, t in enumerate(order):
-            counts[i, t] += 1
-    assert np.abs(counts / 3000 - 0.5).max() < 0.04
+def test_every_placement_is_equally_likely():
+    """All orders of five rows in three partitions over two targets."""
+    seen = Counter()
+    for seed in range(24_000):
+        m = sharding.Matrix([1, 0, 4], [2, 3], seed)
+        rows = [(t, k, (p, i)) for p in (0, 2) for i, (t, k) in enumerate(zip(*sharding.dealt(m, p, seed)))]
+        seen[tuple(x for *_, x in sorted(rows))] += 1
+    assert len(seen) == 120
+    chi = sum((n - 200) ** 2 / 200 for n in seen.values())
+    assert chi < 119 + 5 * math.sqrt(2 * 119)
+
+
+def test_whole_placement_matches_brute_force(spark):
+    """The table is placed as by a plain simulation of all partitions and targets."""
+    df = documents(spark, [(i, f"t{i % 11}" * (i % 5)) for i in range(300)] + [(None, None), (7, "x" * 400_000)], extra=True).repartition(5)
+    got = {(r.doc_id, r.text): (r.shard, r.slot) for r in sharding.shard(df, ("doc_id", "text"), shards=3, block_rows=16, seed=5).collect()}
+    parts = pick(df, "doc_id", "text").rdd.glom().collect()
+    targets = sharding.target_sizes(302, 3, 16)
+    m = sharding.Matrix([len(p) for p in parts], [t[2] for t in targets], 5)
+    inside = {}
+    for p, rows in enumerate(parts):
+        for i, (row, t, k) in enumerate(zip(rows, *sharding.dealt(m, p, 5))):
+            inside.setdefault(int(t), []).append((k, p, i, tuple(row)))
+    want = {row: (targets[t][0], targets[t][1] + slot) for t, rows in inside.items() for slot, (*_, row) in enumerate(sorted(rows, key=lambda x: x[:3]))}
+    assert got == want
+
+
+def test_targets_are_bounded():
+    sizes = sharding.target_sizes(10**11, 8, 4096)
+    assert len(sizes) <= sharding.MAX_TARGETS + 8 and sum(t[2] for t in sizes) == 10**11
+    m = sharding.Matrix([10**8] * 1000, [t[2] for t in sizes], 1)
+    assert m.row(17).sum() == 10**8
 
 
 def test_large_hypergeometric_has_the_right_moments():
     rng = np.random.default_rng(1)
     good, bad, n = 4000, 3 * 10**9, 10**9
-    x = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(400)])
-    mean = n * good / (good + bad)
-    sd = np.sqrt(mean * (1 - good / (good + bad)) * (1 - n / (good + bad)))
-    assert abs(x.mean() - mean) < 5 * sd / 20 and 0.8 < x.std() / sd < 1.2
+    for good, bad, n in ((good, bad, n), (10**10, 3 * 10**10, 10**9), (2 * 10**9, 5, 10**9)):
+        x = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(400)])
+        mean = n * (good / (good + bad))
+        sd = np.sqrt(mean * (bad / (good + bad)) * (1 - n / (good + bad)))
+        assert abs(x.mean() - mean) < 5 * sd / 20 and 0.8 < x.std() / sd < 1.2
 
 
 # -- chats ----------------------------------------------------------------------------------------------------
