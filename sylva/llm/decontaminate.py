@@ -6,12 +6,13 @@ bytes says how far the search may jump; where the shift is 0, a bucket of the bl
 whose first bytes end in it, and they are compared directly. Windows are grouped by length, so that one short item does
 not shorten the jumps of all.
 
-Defined results: a null or empty text, and one without words, has no words and no hits. Items with a null
-id or without words match nothing; items with the same id count as one. With an empty item table no
-document is hit. Repeated rows are treated one by one alike. Other columns are ignored.
+Defined results: a null or empty text, and one without words, has no words and no hits. Items without words match nothing; the windows of an item with a null
+id hit words, but it is not counted or listed; items with the same id count as one. With an empty item table no
+document is hit, and an empty document table gives an empty result. Texts are searched whole at any length. Repeated rows are treated one by one alike. Other columns are ignored.
 
 Items reach the executors in blocks of at most ``BLOCK_BYTES`` of text (one larger item is a block of its
-own); each block is one pass over the documents within the same job, without a shuffle.
+own); each block is one pass over the documents, without a shuffle. Up to ``CHAIN`` passes run within one job; then the documents with
+their hits so far are written to the shared folder, so that no task holds more tables than these.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import map_arrow, pick, utf8
+from sylva.llm.common import Scratch, map_arrow, pick, utf8
 
 WINDOW = 13
 BLOCK_BYTES = 256 << 10
+CHAIN = 16
 TABLE_BITS = 20
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
@@ -83,7 +85,7 @@ class _Group:
 
 class Matcher:
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
-        self.owners: dict[bytes, set[str]] = {}
+        self.owners: dict[bytes, set[str | None]] = {}
         for item, text in items:
             for p in windows_of(words_of(text), window):
                 self.owners.setdefault(p, set()).add(item)
@@ -101,7 +103,7 @@ class Matcher:
         spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
         first = np.searchsorted(spaces, [at for at, _ in found])
         ranges = sorted({(int(k), int(k) + p.count(b" ") - 1) for k, (_, p) in zip(first, found)})
-        return ranges, set().union(*(self.owners[p] for _, p in found))
+        return ranges, set().union(*(self.owners[p] for _, p in found)) - {None}
 
 
 _cached: tuple[int, Matcher] | None = None
@@ -129,7 +131,7 @@ def _covered(ranges: list[tuple[int, int]]) -> int:
 
 def item_blocks(items: DataFrame, item_id: str, text: str):
     """Yields lists of (id, text) of at most BLOCK_BYTES of text, or one larger item."""
-    rows = pick(items, item_id, text).toDF("item", "text").where("item is not null and text is not null").select(F.col("item").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    rows = pick(items, item_id, text).toDF("item", "text").where("text is not null").select(F.col("item").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
     block, size = [], 0
     for r in rows.orderBy("item", "text").toLocalIterator():
         if block and size + len(r.text) > BLOCK_BYTES:
@@ -149,9 +151,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", keep
     fixed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1])
     n = len(keep)
     found_type = pa.struct([("a", pa.int64()), ("b", pa.int64())])
-    blocks = list(item_blocks(items, item_id, item_text)) or [[]]
-    for k, block in enumerate(blocks):
-        shared, first, last = sc.broadcast(block), k == 0, k == len(blocks) - 1
+    scratch, held = Scratch(docs.sparkSession), None
+    blocks = item_blocks(items, item_id, item_text)
+    block, k = next(blocks, []), -1
+    while block is not None:
+        following, k = next(blocks, None), k + 1
+        shared, first, last = sc.broadcast(block), k == 0, following is None
+        if k and k % CHAIN == 0:
+            out, before = scratch.cut(out), held
+            held = out
+            if before is not None:
+                scratch.drop(before)
 
         def run(batches, shared=shared, first=first, last=last):
             matcher = _matcher(shared.value, window)
@@ -177,6 +187,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", keep
 
         tail = "n_words long, n_hit long, n_items long, item_ids array<string>, contaminated boolean" if last else "text string, hits array<struct<a: bigint, b: bigint>>, ids array<string>"
         out = map_arrow(out, run, f"{fixed}, {tail}" if fixed else tail)
+        block = following
     return out
 
 

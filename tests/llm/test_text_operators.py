@@ -174,7 +174,7 @@ def brute_hits(text, items, size=13):
             for i in range(len(words) - len(win) + 1):
                 if words[i : i + len(win)] == win:
                     hit |= set(range(i, i + len(win)))
-                    ids.add(str(item))
+                    ids.update([] if item is None else [str(item)])
     return len(words), len(hit), sorted(ids)
 
 
@@ -196,12 +196,12 @@ def contaminated_corpus():
 def test_decontamination_matches_brute_force(spark, monkeypatch):
     docs, items = contaminated_corpus()
     table = spark.createDataFrame(items, "item_id long, text string")
-    known = [x for x in items if x[0] is not None]
-    for limit in (decontaminate.BLOCK_BYTES, 200):  # one block, and many
+    for limit, chain in ((decontaminate.BLOCK_BYTES, 16), (200, 2)):  # one block, and many with few in a job
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        monkeypatch.setattr(decontaminate, "CHAIN", chain)
         out = {r.doc_id: r for r in decontaminate.decontaminate(documents(spark, docs, extra=True), table).collect()}
         for k, text in docs:
-            n, hit, ids = brute_hits(text, known)
+            n, hit, ids = brute_hits(text, items)
             r = out[k]
             assert (r.n_words, r.n_hit, list(r.item_ids), r.n_items) == (n, hit, ids, len(ids)), k
             assert r.contaminated == (hit > 0 and 20 * hit >= n)
