@@ -10,8 +10,8 @@ Turns are sorted over range partitions, so a conversation of any length spreads
 turns acts on the automaton as a min-plus matrix; only the first and the last stretch of a partition can
 belong to a conversation that goes on elsewhere, and those two matrices a partition are solved together on the driver.
 
-Defined results: turns sort by turn (null first), role and text; rows that agree in all of these are kept
-and merge like others. A null or unknown role may become any role at a small cost. A null text is empty.
+Defined results: turns sort by turn (null first) and role, those that agree in both by a fixed hash of the text, so that long texts
+need not be compared over tasks; rows that agree in all of these are kept and merge like others. A null or unknown role may become any role at a small cost. A null text is empty.
 Turns without a conversation id form one conversation. Role names are compared in lower case, without
 white space around them. Ties go to the role listed first. An empty table gives an empty result. Control marks inside of texts are defused.
 Other columns are ignored.
