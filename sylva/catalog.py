@@ -5,13 +5,10 @@ Doubles are rounded to six places on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylva import catalog_edits  # noqa: F401  (registers its queries)
 from sylva.operators import clades as C
-from sylva.operators import comparative as K
 from sylva.operators import distances as D
 from sylva.operators import inference as I
 from sylva.operators import sequences as S
@@ -19,28 +16,10 @@ from sylva.operators import spatial as P
 from sylva.operators import time_tables as TT
 from sylva.operators import tree_tables as T
 from sylva.plans import views as V
+from sylva.registry import ORACLE_SQL, QUERIES, query, r6  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "tree_clades"
 
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
-
-
 HEAP = V.with_views("heap", "closure", tree="heap")
 CLOCK = V.with_views("clock", "closure", tree="clock")
 TIPS = "tips AS (SELECT node FROM {t} WHERE node NOT IN (SELECT parent FROM {t} WHERE parent IS NOT NULL))"
@@ -346,19 +325,17 @@ def complement(spark, sf_dir):
 
 @query(
     SEQ
-    + """, codons AS (SELECT label, i, substr(seq, 3 * i + 1, 3) AS codon FROM (SELECT label, seq, unnest(range(0, length(seq) // 3)) AS i FROM nucleotides)),
-aa AS (SELECT label, i, CASE WHEN contains(codon, 'n') THEN NULL ELSE substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG',
-  CAST(16 * (instr('tcag', substr(codon, 1, 1)) - 1) + 4 * (instr('tcag', substr(codon, 2, 1)) - 1) + instr('tcag', substr(codon, 3, 1)) AS BIGINT), 1) END AS aa FROM codons)
-SELECT label, count(*) FILTER (aa = 'L') AS leu, count(*) FILTER (aa = '*') AS stops, count(*) FILTER (aa = 'M') AS met FROM aa GROUP BY label"""
+    + """, bases AS (SELECT unnest(['t', 'c', 'a', 'g']) AS b), seen AS (SELECT unnest(['t', 'c', 'a', 'g', 'n']) AS s),
+letters AS (SELECT s, b FROM seen, bases WHERE s = b OR s = 'n'),
+readings AS (SELECT x.s || y.s || z.s AS codon, substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG',
+  CAST(16 * (instr('tcag', x.b) - 1) + 4 * (instr('tcag', y.b) - 1) + instr('tcag', z.b) AS BIGINT), 1) AS aa FROM letters x, letters y, letters z),
+table_of AS (SELECT codon, CASE WHEN count(DISTINCT aa) = 1 THEN any_value(aa) ELSE 'X' END AS aa FROM readings GROUP BY codon),
+codons AS (SELECT label, i, substr(seq, 3 * i + 1, 3) AS codon FROM (SELECT label, seq, unnest(range(0, length(seq) // 3)) AS i FROM nucleotides)),
+joined AS (SELECT label, string_agg(aa, '' ORDER BY i) AS aa FROM codons JOIN table_of USING (codon) GROUP BY label)
+SELECT n.label, md5(coalesce(aa, '')) AS digest, length(coalesce(aa, '')) AS n FROM nucleotides n LEFT JOIN joined USING (label)"""
 )
 def trans(spark, sf_dir):
-    aa = S.translate(V.nucleotides(spark, sf_dir)).where(F.length("seq") > 0)
-    # ambiguous codons translate where all readings agree; the counts below leave those out by name of the codon
-    s = V.nucleotides(spark, sf_dir).where("length(seq) >= 3")
-    clean = s.select("label", F.transform(F.sequence(F.lit(0), F.floor(F.length("seq") / 3).cast("int") - 1), lambda i: F.substring("seq", i * 3 + 1, F.lit(3))).alias("c"))
-    both = aa.join(clean, "label").select("label", F.filter(F.zip_with("c", F.split("seq", ""), lambda c, a: F.when(~c.contains("n"), a)), lambda a: a.isNotNull()).alias("a"))
-    count = lambda x: F.size(F.filter("a", lambda a: a == x)).cast("long")
-    return both.select("label", count("L").alias("leu"), count("*").alias("stops"), count("M").alias("met"))
+    return S.translate(V.nucleotides(spark, sf_dir)).select("label", F.md5("seq").alias("digest"), F.length("seq").cast("long").alias("n"))
 
 
 @query(SEQ + "SELECT label, CAST(p AS BIGINT) AS pos FROM (SELECT label, seq, unnest(range(1, length(seq) - 2)) AS p FROM nucleotides) WHERE substr(seq, p, 4) = 'gtac'")
@@ -490,7 +467,7 @@ round(sqrt((n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s * s) - k * (n * (n -
 )
 def moran_i(spark, sf_dir):
     customers = V.read(spark, sf_dir, "customer")
-    return r6(P.moran_i(customers, P.weight_taxo(customers, "c_custkey", "c_nationkey"), "c_custkey", "c_acctbal"), "observed", "expected", "sd")
+    return r6(P.moran_i_groups(customers, "c_nationkey", "c_acctbal"), "observed", "expected", "sd")
 
 
 @query(
@@ -650,13 +627,6 @@ def mst(spark, sf_dir):
     return r6(I.spanning_trees(V.vector_distances(spark, sf_dir)), "d")
 
 
-@query()
-def pic(spark, sf_dir):
-    nodes = V.heap_tree(spark, sf_dir)
-    traits = nodes.select("label", (F.col("length") * 10).alias("x"))
-    return r6(K.pic(nodes, traits), "contrast", "variance", "value")
-
-
 @query()
 def pcoa(spark, sf_dir):
     return P.pcoa(V.vector_distances(spark, sf_dir)).groupBy("axis").agg(F.round(F.first("eigenvalue"), 3).alias("eigenvalue"), F.round(F.first("relative"), 6).alias("relative"), F.round(F.first("broken_stick"), 6).alias("broken_stick"))
@@ -678,10 +648,3 @@ def consensus_tree(spark, sf_dir):
     n = nodes.select("tree_id").distinct().count()
     kept = C.consensus_clades(C.prop_part(C.clade_table(nodes)), n, 0.5)
     return C.clades_to_tree(kept, nodes.where("label is not null").select("label"))
-
-
-@query()
-def write_newick(spark, sf_dir):
-    from sylva.sources.writers import to_newick
-
-    return to_newick(_weeks(spark, sf_dir))

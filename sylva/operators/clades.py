@@ -6,15 +6,25 @@ Both are plain keys, so censuses are group-bys and comparisons of trees are join
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.operators.tree_tables import closure, with_children
+from sylva.functions.phylo import Phylo
+from sylva.operators.comparative import per_tree
+from sylva.operators.tree_tables import with_children
+
+
+def _clades(tree: Phylo) -> pd.DataFrame:
+    below = tree.clades()
+    inner = tree.internal()
+    return pd.DataFrame({"node": [tree.ids[v] for v in inner], "clade": [sorted(below[v]) for v in inner]})
 
 
 def clade_table(nodes: DataFrame, reach: DataFrame | None = None) -> DataFrame:
-    """(tree_id, node, clade) of the internal nodes."""
-    reach = closure(nodes) if reach is None else reach
+    """(tree_id, node, clade) of the internal nodes: from a closure if there is one, else by one kernel a tree."""
+    if reach is None:
+        return per_tree(nodes, _clades, f"node {nodes.schema['node'].dataType.simpleString()}, clade array<string>")
     tips = with_children(nodes).where("is_tip").select("tree_id", "node", "label")
     return reach.where("hops > 0").join(tips, ["tree_id", "node"]).groupBy("tree_id", F.col("ancestor").alias("node")).agg(F.array_sort(F.collect_list("label")).alias("clade"))
 
@@ -35,8 +45,10 @@ def split_table(nodes: DataFrame, reach: DataFrame | None = None) -> DataFrame:
 
 
 def bitsplits(splits: DataFrame, tips: DataFrame) -> DataFrame:
-    """(mask, freq): splits as bit masks over the sorted labels of ``tips`` (label), for up to 63 labels."""
-    rank = tips.select("label").distinct().withColumn("bit", F.expr("shiftleft(1L, cast(row_number() over (order by label) - 1 as int))"))
+    """(mask, freq): splits as bit masks over the sorted labels of ``tips`` (label), for up to 63 labels; with more, reading the result fails."""
+    rank = tips.select("label").distinct().withColumn("k", F.row_number().over(Window.orderBy("label")))
+    too_many = F.raise_error(F.lit("bit masks hold up to 63 labels")).cast("long")
+    rank = rank.select("label", F.when(F.col("k") > 63, too_many).otherwise(F.expr("shiftleft(1L, cast(k - 1 as int))")).alias("bit"))
     bits = splits.select("tree_id", "split", F.explode("split").alias("label")).join(F.broadcast(rank), "label")
     return bits.groupBy("tree_id", "split").agg(F.sum("bit").alias("mask")).groupBy("mask").agg(F.count("*").alias("freq"))
 

@@ -99,6 +99,31 @@ def covariance(tree: Phylo, model: str = "brownian", value: float = 1.0, corr: b
     return v, names
 
 
+def covariances(nodes: DataFrame, model: str = "brownian", value: float = 1.0, corr: bool = False) -> DataFrame:
+    """(tree_id, a, b, v): covariances of the tips (by label, a <= b) of each tree under a model of ``covariance``."""
+
+    def run(tree):
+        v, names = covariance(tree, model, value, corr)
+        order = np.argsort(names)
+        names, v = np.array(names)[order], v[np.ix_(order, order)]
+        i, j = np.triu_indices(len(names))
+        return pd.DataFrame({"a": names[i], "b": names[j], "v": v[i, j]})
+
+    return per_tree(nodes, run, "a string, b string, v double")
+
+
+def ancestral_values(nodes: DataFrame, traits: DataFrame, method: str = "PIC") -> DataFrame:
+    """(tree_id, node, value, lower, upper, rate) of the internal nodes by ``ace_continuous``; traits: (label, x)."""
+    tips = nodes.join(traits.select("label", "x"), "label", "left").select("tree_id", "node", "parent", "length", "label", "x")
+
+    def run(key, rows):
+        tree = tree_of(rows)
+        value, rate, spread = ace_continuous(tree, dict(zip(rows["label"], rows["x"])), method)
+        return pd.DataFrame([(key[0], tree.ids[v], value[v], *spread[v], rate) for v in value], columns=["tree_id", "node", "value", "lower", "upper", "rate"])
+
+    return tips.groupBy("tree_id").applyInPandas(run, f"tree_id long, node {nodes.schema['node'].dataType.simpleString()}, value double, lower double, upper double, rate double")
+
+
 def gls(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Generalised least squares: coefficients, their covariance and the residual variance."""
     inv = np.linalg.inv(v)

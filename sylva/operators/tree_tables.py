@@ -37,8 +37,22 @@ def with_children(nodes: DataFrame) -> DataFrame:
 
 
 def root_paths(nodes: DataFrame, reach: DataFrame | None = None) -> DataFrame:
-    """(tree_id, node, level, depth): edges and length from the root."""
-    reach = closure(nodes) if reach is None else reach
+    """(tree_id, node, level, depth): edges and length from the root.
+
+    Without a closure each node keeps a pointer to an ancestor, twice as far up with every step: one row a node, and as many joins
+    as the depth has bits.
+    """
+    if reach is None:
+        up = F.col("parent").isNotNull()
+        held = nodes.select("tree_id", "node", F.col("parent").alias("jump"), up.cast("int").alias("level"), F.when(up, F.coalesce("length", F.lit(0.0))).otherwise(0.0).alias("depth")).cache()
+        while not held.where("jump is not null").isEmpty():
+            above = held.select("tree_id", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("level").alias("more"), F.col("depth").alias("further"))
+            met = held.join(above, ["tree_id", "jump"], "left")
+            step = met.select("tree_id", "node", F.col("next").alias("jump"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), (F.col("depth") + F.coalesce("further", F.lit(0.0))).alias("depth")).cache()
+            step.count()
+            held.unpersist()
+            held = step
+        return held.select("tree_id", "node", "level", "depth")
     return reach.groupBy("tree_id", "node").agg(F.max("hops").alias("level"), F.max_by("dist", "hops").alias("depth"))
 
 

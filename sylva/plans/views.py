@@ -32,13 +32,16 @@ def heap_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clock_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ultrametric binary tree: the heap tree cut to full levels, with length 1 / level."""
+    """An ultrametric binary tree: the heap tree with length 1 / level; tips above the last level reach down to it."""
     part = read(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("node"))
-    n = 2 ** ((part.count() + 1).bit_length() - 1) - 1
+    n = part.count()
+    n -= 1 - n % 2
     level = F.floor(F.log2(F.col("node") + F.lit(0.5)))
-    inner = F.col("node") > 1
+    inner, last = F.col("node") > 1, n.bit_length() - 1
+    short = (2 * F.col("node") > n) & (level < last)
+    length = 1 / level + F.when(short, 1 / (level + 1)).otherwise(0.0)
     return part.where(F.col("node") <= n).select(
-        F.lit(2).cast("long").alias("tree_id"), "node", F.when(inner, F.floor(F.col("node") / 2)).alias("parent"), F.when(inner, 1 / level).alias("length"), F.col("node").cast("string").alias("label")
+        F.lit(2).cast("long").alias("tree_id"), "node", F.when(inner, F.floor(F.col("node") / 2)).alias("parent"), F.when(inner, length).alias("length"), F.col("node").cast("string").alias("label")
     )
 
 
@@ -123,8 +126,9 @@ SQL = {
   SELECT CAST(p_partkey + 1 AS BIGINT) AS node, CASE WHEN p_partkey > 0 THEN CAST((p_partkey + 1) // 2 AS BIGINT) END AS parent, CASE WHEN p_partkey > 0 THEN p_retailprice / 1000 END AS length
   FROM part WHERE p_partkey + 1 <= (SELECT count(*) - 1 + count(*) % 2 FROM part))""",
     "clock": """clock AS (
-  SELECT CAST(p_partkey + 1 AS BIGINT) AS node, CASE WHEN p_partkey > 0 THEN CAST((p_partkey + 1) // 2 AS BIGINT) END AS parent, CASE WHEN p_partkey > 0 THEN 1 / floor(log2(p_partkey + 1.5)) END AS length
-  FROM part WHERE p_partkey + 1 <= (SELECT pow(2, floor(log2(count(*) + 1.5))) - 1 FROM part))""",
+  SELECT CAST(p_partkey + 1 AS BIGINT) AS node, CASE WHEN p_partkey > 0 THEN CAST((p_partkey + 1) // 2 AS BIGINT) END AS parent,
+    CASE WHEN p_partkey > 0 THEN 1 / l + CASE WHEN 2 * (p_partkey + 1) > n AND l < floor(log2(n + 0.5)) THEN 1 / (l + 1) ELSE 0 END END AS length
+  FROM (SELECT p_partkey, floor(log2(p_partkey + 1.5)) AS l, (SELECT count(*) - 1 + count(*) % 2 FROM part) AS n FROM part) WHERE p_partkey + 1 <= n)""",
     "closure": """closure AS (
   SELECT node, node AS ancestor, 0 AS hops, CAST(0 AS DOUBLE) AS dist FROM {t}
   UNION ALL SELECT c.node, t.parent, c.hops + 1, c.dist + t.length FROM closure c JOIN {t} t ON t.node = c.ancestor WHERE t.parent IS NOT NULL)""",

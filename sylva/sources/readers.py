@@ -78,14 +78,19 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
     return clean.withColumns({"start": F.col("start").try_cast("int"), "end": F.col("end").try_cast("int"), "score": F.col("score").try_cast("double")})
 
 
-def _by_file(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of whole text files."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+
+def _by_file(texts: DataFrame, parse, schema: str) -> DataFrame:
     def run(batches):
         for pdf in batches:
             for name, text in zip(pdf["file"], pdf["value"]):
                 rows = parse(text.replace("\r", ""))
                 yield pd.DataFrame([(name, *r) for r in rows], columns=["file", *re.findall(r"(\w+) \w", schema)])
 
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value").mapInPandas(run, f"file string, {schema}")
+    return texts.select("file", "value").mapInPandas(run, f"file string, {schema}")
 
 
 def parse_phylip(text: str, interleaved: bool = True) -> list[tuple[str, str]]:
@@ -137,16 +142,24 @@ def parse_nexus_data(text: str) -> list[tuple[str, str]]:
     return list(out.items())
 
 
+SEQUENCES = {"phylip": parse_phylip, "phylip_sequential": lambda t: parse_phylip(t, False), "clustal": parse_clustal, "nexus": parse_nexus_data}
+
+
+def sequences_of(texts: DataFrame, form: str) -> DataFrame:
+    """(file, label, seq) of whole texts (file, value) in one of the forms of ``SEQUENCES``."""
+    return _by_file(texts, SEQUENCES[form], "label string, seq string")
+
+
 def read_phylip(spark: SparkSession, path: str, interleaved: bool = True) -> DataFrame:
-    return _by_file(spark, path, lambda t: parse_phylip(t, interleaved), "label string, seq string")
+    return sequences_of(files(spark, path), "phylip" if interleaved else "phylip_sequential")
 
 
 def read_clustal(spark: SparkSession, path: str) -> DataFrame:
-    return _by_file(spark, path, parse_clustal, "label string, seq string")
+    return sequences_of(files(spark, path), "clustal")
 
 
 def read_nexus_data(spark: SparkSession, path: str) -> DataFrame:
-    return _by_file(spark, path, parse_nexus_data, "label string, seq string")
+    return sequences_of(files(spark, path), "nexus")
 
 
 def parse_nexus_trees(text: str) -> list[tuple[str, Phylo]]:
@@ -169,7 +182,11 @@ def parse_nexus_trees(text: str) -> list[tuple[str, Phylo]]:
 
 
 def read_nexus_trees(spark: SparkSession, path: str) -> DataFrame:
-    """(file, tree_no, name, node, parent, length, label) of the TREES blocks, tokens translated."""
+    return nexus_trees(files(spark, path))
+
+
+def nexus_trees(texts: DataFrame) -> DataFrame:
+    """(file, tree_no, name, node, parent, length, label) of the TREES blocks of whole texts (file, value), tokens translated."""
 
     def parse(text):
         return [(k + 1, name, *r) for k, (name, tree) in enumerate(parse_nexus_trees(text)) for r in tree_rows(tree)]
@@ -180,7 +197,7 @@ def read_nexus_trees(spark: SparkSession, path: str) -> DataFrame:
                 out = pd.DataFrame([(name, *r) for r in parse(text.replace("\r", ""))], columns=["file", "tree_no", "name", "node", "parent", "length", "label"])
                 yield out.astype({"parent": "Int64"})
 
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value").mapInPandas(run, f"file string, tree_no int, name string, {NODES}")
+    return texts.select("file", "value").mapInPandas(run, f"file string, tree_no int, name string, {NODES}")
 
 
 def read_feature_table(spark: SparkSession, path: str) -> DataFrame:

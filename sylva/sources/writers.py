@@ -38,6 +38,35 @@ def nexus_document(trees: list[tuple[str, Phylo]], digits: int = 10, translate:
     return "\n".join([*out, "END;", ""])
 
 
+def to_nexus(nodes: DataFrame, digits: int = 10, translate: bool = True) -> DataFrame:
+    """(tree_id, value): a NEXUS document for each tree."""
+
+    def run(key, rows):
+        return pd.DataFrame({"tree_id": [key[0]], "value": [nexus_document([(f"tree{key[0]}", tree_of(rows))], digits, translate)]})
+
+    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id long, value string")
+
+
+def to_phyloxml(nodes: DataFrame) -> DataFrame:
+    """(tree_id, value): a phyloXML document for each tree."""
+
+    def run(key, rows):
+        return pd.DataFrame({"tree_id": [key[0]], "value": [phyloxml_document([(f"tree{key[0]}", tree_of(rows))])]})
+
+    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id long, value string")
+
+
+def alignment_documents(seqs: DataFrame, form: str = "phylip", key: str = "alignment", **options) -> DataFrame:
+    """(file, value): a document (phylip, phylip_sequential or nexus) for each alignment (key, label, seq), sequences sorted by label."""
+    make = {"phylip": phylip_document, "phylip_sequential": lambda s, **o: phylip_document(s, interleaved=False, **o), "nexus": nexus_data_document}[form]
+
+    def run(k, rows):
+        rows = rows.sort_values("label")
+        return pd.DataFrame({"file": [str(k[0])], "value": [make(list(zip(rows["label"].astype(str), rows["seq"])), **options)]})
+
+    return seqs.select(key, "label", "seq").groupBy(key).applyInPandas(run, "file string, value string")
+
+
 def fasta_lines(seqs: DataFrame, width: int | None = None) -> DataFrame:
     """(value): one record a row, with line breaks inside."""
     body = F.col("seq") if width is None else F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / width).cast("int")), lambda i: F.substring("seq", i * width + 1, F.lit(width))), lambda x: x != ""), "\n")
