@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sylva import catalog_edits  # noqa: F401  (registers its queries)
+from sylva import catalog_edits, catalog_labels  # noqa: F401  (they register their queries)
 from sylva.operators import clades as C
 from sylva.operators import distances as D
 from sylva.operators import inference as I
@@ -642,9 +642,16 @@ def skyline_aicc(spark, sf_dir):
     return r6(TT.skyline_likelihood(TT.collapse_intervals(_gap_intervals(spark, sf_dir), 3600.0)), "loglik", "aicc")
 
 
-@query()
+@query(
+    CENSUS.rstrip()
+    + """, inside AS (SELECT clade AS c FROM clades GROUP BY clade HAVING count(*) >= 0.5000001 * (SELECT count(*) FROM weeks) UNION SELECT list_sort(types) FROM weeks),
+every_one AS (SELECT c FROM inside UNION SELECT [x] FROM (SELECT DISTINCT unnest(types) AS x FROM weeks)), up AS (SELECT e.c, min_by(array_to_string(i.c, ','), {'a': len(i.c), 'b': array_to_string(i.c, ',')}) AS p
+  FROM every_one e LEFT JOIN inside i ON len(i.c) > len(e.c) AND list_has_all(i.c, e.c) GROUP BY e.c)
+SELECT CAST(0 AS BIGINT) AS tree_id, array_to_string(c, ',') AS node, coalesce(p, '') AS parent, CASE WHEN len(c) = 1 THEN c[1] ELSE '' END AS label FROM up"""
+)
 def consensus_tree(spark, sf_dir):
     nodes = _weeks(spark, sf_dir)
     n = nodes.select("tree_id").distinct().count()
     kept = C.consensus_clades(C.prop_part(C.clade_table(nodes)), n, 0.5)
-    return C.clades_to_tree(kept, nodes.where("label is not null").select("label"))
+    out = C.clades_to_tree(kept, nodes.where("label is not null").select("label"))
+    return out.select("tree_id", "node", F.coalesce("parent", F.lit("")).alias("parent"), F.coalesce("label", F.lit("")).alias("label"))

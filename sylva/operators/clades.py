@@ -53,6 +53,13 @@ def bitsplits(splits: DataFrame, tips: DataFrame) -> DataFrame:
     return bits.groupBy("tree_id", "split").agg(F.sum("bit").alias("mask")).groupBy("mask").agg(F.count("*").alias("freq"))
 
 
+def splits_of(masks: DataFrame, tips: DataFrame) -> DataFrame:
+    """(split, freq): the labels of bit masks over the sorted labels of ``tips``."""
+    labels = tips.agg(F.array_sort(F.collect_set("label")).alias("labels"))  # the labels of one set of tips
+    both = masks.crossJoin(F.broadcast(labels))
+    return both.select(F.filter("labels", lambda x, i: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0).alias("split"), "freq")
+
+
 def are_compatible(masks: DataFrame, n: int) -> DataFrame:
     """(a, b, compatible) for pairs of masks a < b over n tips: one of the four intersections is empty."""
     full = (1 << n) - 1

@@ -6,7 +6,7 @@ import math
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.functions.phylo import Phylo
@@ -205,3 +205,22 @@ def super_distances(matrices: list[tuple[np.ndarray, list[str]]], weights: list[
         mean[i, j] = mean[j, i] = m
         var[i, j] = var[j, i] = (w * (x - m) ** 2).sum() / w.sum()
     return mean, var, labels
+
+
+def network_nodes(nodes: DataFrame, reticulations: DataFrame, label: str = "#H") -> DataFrame:
+    """The tree that stands for a network in Newick: each reticulation is a tip under its source, with the label of its target; targets
+    without a label get one from their id. ``network`` takes it back."""
+    named = reticulations.select("tree_id", F.col("dst").alias("node")).distinct().withColumn("hybrid", F.concat(F.lit(label), F.col("node").cast("string")))
+    own = nodes.select("tree_id", "node", "parent", "length", "label").join(named, ["tree_id", "node"], "left").withColumn("label", F.when(F.col("label").startswith("#"), F.col("label")).otherwise(F.coalesce("hybrid", "label"))).drop("hybrid")
+    top = nodes.groupBy("tree_id").agg(F.max("node").alias("top"))
+    order = Window.partitionBy("tree_id").orderBy("src", "dst")
+    names = own.select("tree_id", F.col("node").alias("dst"), "label")
+    tips = reticulations.withColumn("k", F.row_number().over(order)).join(top, "tree_id").join(names, ["tree_id", "dst"])
+    return own.unionByName(tips.select("tree_id", (F.col("top") + F.col("k")).cast(nodes.schema["node"].dataType).alias("node"), F.col("src").alias("parent"), F.lit(None).cast("double").alias("length"), "label"))
+
+
+def network_degree(nodes: DataFrame, reticulations: DataFrame) -> DataFrame:
+    """(tree_id, node, degree): edges of the tree and reticulations at each node."""
+    edges = network_edges(nodes, reticulations)
+    ends = edges.select("tree_id", F.explode(F.array("src", "dst")).alias("node"))
+    return ends.groupBy("tree_id", "node").agg(F.count("*").alias("degree"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from tempfile import mkdtemp
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,5 +25,11 @@ def query(sql: str | None = None):
     return add
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, or a temporary one where that is unset."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{path.rstrip('/') if path else mkdtemp(prefix='sylva-')}/{uuid4().hex}"
+
+
 def r6(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
