@@ -38,18 +38,16 @@ SELECT p.node, n AS n_tips, CAST(level AS BIGINT) AS level, round(depth, 6) AS d
 )
 def tree_clades(spark, sf_dir):
     nodes = V.heap_tree(spark, sf_dir)
-    reach = T.closure(nodes)
     own = T.with_children(nodes)
     kids = own.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("k"), F.count_if("is_tip").alias("t"))
-    out = T.root_paths(nodes, reach).join(kids, "node").join(T.node_depth(nodes, reach=reach).select("node", F.col("depth").alias("n_tips")), "node")
+    out = T.root_paths(nodes).join(kids, "node").join(T.node_depth(nodes).select("node", F.col("depth").alias("n_tips")), "node")
     return out.select("node", "n_tips", F.col("level").cast("long").alias("level"), F.round("depth", 6).alias("depth"), ((F.col("k") == 2) & (F.col("t") == 2)).alias("is_cherry"))
 
 
 @query(HEAP_TIPS + "SELECT c.ancestor AS node, count(*) AS tips, CAST(max(hops) + 1 AS BIGINT) AS levels FROM closure c JOIN tips USING (node) GROUP BY c.ancestor")
 def node_depth(spark, sf_dir):
     nodes = V.heap_tree(spark, sf_dir)
-    reach = T.closure(nodes)
-    a, b = T.node_depth(nodes, 1, reach), T.node_depth(nodes, 2, reach)
+    a, b = T.node_depth(nodes, 1), T.node_depth(nodes, 2)
     return a.select("node", F.col("depth").alias("tips")).join(b.select("node", F.col("depth").alias("levels")), "node")
 
 

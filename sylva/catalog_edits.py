@@ -298,7 +298,7 @@ def read_tree(spark, sf_dir):
 @query(edited_sql("SELECT * FROM cat"))
 def read_nexus(spark, sf_dir):
     texts = W.to_nexus(cat(spark, sf_dir)).select(F.col("tree_id").cast("string").alias("file"), "value")
-    return clades(R.nexus_trees(texts).withColumn("tree_id", F.substring("name", 5, 20).cast("long")).select("tree_id", "node", "parent", "length", "label"))
+    return clades(R.nexus_trees(texts).withColumn("tree_id", F.col("file").cast("long")).select("tree_id", "node", "parent", "length", "label"))
 
 
 @query(V.with_views("weeks") + "SELECT tree_id, CAST(5 AS BIGINT) AS tips, CAST(9 AS BIGINT) AS clades, 18.0::DOUBLE AS total FROM weeks")

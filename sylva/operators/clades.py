@@ -6,25 +6,23 @@ Both are plain keys, so censuses are group-bys and comparisons of trees are join
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.functions.phylo import Phylo
-from sylva.operators.comparative import per_tree
+from sylva.operators.comparative import rows_per_tree
 from sylva.operators.tree_tables import with_children
 
 
-def _clades(tree: Phylo) -> pd.DataFrame:
+def _clades(tree: Phylo) -> list[tuple]:
     below = tree.clades()
-    inner = tree.internal()
-    return pd.DataFrame({"node": [tree.ids[v] for v in inner], "clade": [sorted(below[v]) for v in inner]})
+    return [(tree.ids[v], sorted(below[v])) for v in tree.internal()]
 
 
 def clade_table(nodes: DataFrame, reach: DataFrame | None = None) -> DataFrame:
     """(tree_id, node, clade) of the internal nodes: from a closure if there is one, else by one kernel a tree."""
     if reach is None:
-        return per_tree(nodes, _clades, f"node {nodes.schema['node'].dataType.simpleString()}, clade array<string>")
+        return rows_per_tree(nodes, _clades, f"node {nodes.schema['node'].dataType.simpleString()}, clade array<string>")
     tips = with_children(nodes).where("is_tip").select("tree_id", "node", "label")
     return reach.where("hops > 0").join(tips, ["tree_id", "node"]).groupBy("tree_id", F.col("ancestor").alias("node")).agg(F.array_sort(F.collect_list("label")).alias("clade"))
 

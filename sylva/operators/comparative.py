@@ -6,14 +6,20 @@ Folds over one tree are sequential, so a tree and its traits go to one grouped k
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from sylva.functions.phylo import Phylo
 
+#: Rows of a batch that a kernel hands on.
+ROWS_OUT = 10_000
+
 
 def tree_of(rows: pd.DataFrame) -> Phylo:
     """A tree from the rows of a table of nodes; children stand in the order of their node ids."""
@@ -27,15 +33,55 @@ def tree_of(rows: pd.DataFrame) -> Phylo:
     return tree
 
 
-def per_tree(nodes: DataFrame, f: Callable[[Phylo], pd.DataFrame], schema: str) -> DataFrame:
-    """Applies a kernel to each tree; ``tree_id`` is added to its rows."""
+def trees_in(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Phylo]]:
+    """(tree_id, tree) from batches of (tree_id, node, parent, length, label and any others, which become ``extra``), sorted by the first
+    two; a tree may go over several batches."""
+    key, rows = None, []
+
+    def build() -> Phylo:
+        ids, parents, lengths, labels, *extra = zip(*rows)
+        number = {v: i for i, v in enumerate(ids)}
+        tree = Phylo([-1 if p is None else number[p] for p in parents], list(lengths), list(labels))
+        tree.ids, tree.extra = list(ids), extra
+        return tree
+
+    for batch in batches:
+        for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and k != key:
+                yield key, build()
+                rows = []
+            key = k
+            rows.append(row)
+    if rows:
+        yield key, build()
+
+
+def rows_per_tree(nodes: DataFrame, f: Callable[[Phylo], Iterable[tuple]], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Applies a kernel that returns rows to each tree; ``tree_id`` is put before them. One shuffle brings the trees together, and
+    each task works through its trees one by one, so each tree has to fit into a task. Columns named in ``extra`` come along."""
+    kind = StructType.fromDDL(f"tree_id long, {schema}")
+    own = nodes.select("tree_id", "node", "parent", "length", "label", *extra).repartition("tree_id").sortWithinPartitions("tree_id", "node")
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = to_arrow_schema(kind)
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type, from_pandas=True) for c, t in zip(zip(*rows), types)], schema=types)
+
+    def run(batches):
+        rows: list[tuple] = []
+        for key, tree in trees_in(batches):
+            rows.extend((key, *r) for r in f(tree))
+            if len(rows) >= ROWS_OUT:
+                yield batch(rows)
+                rows = []
+        if rows:
+            yield batch(rows)
+
+    return own.mapInArrow(run, kind)
 
-    def run(key, rows):
-        out = f(tree_of(rows))
-        out.insert(0, "tree_id", key[0])
-        return out
 
-    return nodes.groupBy("tree_id").applyInPandas(run, f"tree_id long, {schema}")
+def per_tree(nodes: DataFrame, f: Callable[[Phylo], pd.DataFrame], schema: str) -> DataFrame:
+    """Applies a kernel that returns a table to each tree; ``tree_id`` is put before its rows."""
+    return rows_per_tree(nodes, lambda tree: f(tree).itertuples(index=False, name=None), schema)
 
 
 def contrasts(tree: Phylo, x: dict[str, float], scaled: bool = True) -> tuple[dict[int, float], dict[int, float], np.ndarray, np.ndarray]:
@@ -58,17 +104,18 @@ def contrasts(tree: Phylo, x: dict[str, float], scaled: bool = True) -> tuple[di
     return c, var, value, edge
 
 
+def _with_trait(nodes: DataFrame, traits: DataFrame) -> DataFrame:
+    return nodes.join(traits.select("label", "x"), "label", "left")
+
+
 def pic(nodes: DataFrame, traits: DataFrame, scaled: bool = True) -> DataFrame:
     """(tree_id, node, contrast, variance, value) of each internal node; traits: (label, x)."""
-    tips = nodes.join(traits.select("label", "x"), "label", "left").select("tree_id", "node", "parent", "length", "label", "x")
 
-    def run(key, rows):
-        tree = tree_of(rows)
-        x = dict(zip(rows["label"], rows["x"]))
-        c, var, value, _ = contrasts(tree, x, scaled)
-        return pd.DataFrame([(key[0], int(tree.ids[v]), c[v], var[v], value[v]) for v in c], columns=["tree_id", "node", "contrast", "variance", "value"])
+    def run(tree):
+        c, var, value, _ = contrasts(tree, dict(zip(tree.label, tree.extra[0])), scaled)
+        return [(tree.ids[v], float(c[v]), float(var[v]), float(value[v])) for v in c]
 
-    return tips.groupBy("tree_id").applyInPandas(run, "tree_id long, node long, contrast double, variance double, value double")
+    return rows_per_tree(_with_trait(nodes, traits), run, f"node {nodes.schema['node'].dataType.simpleString()}, contrast double, variance double, value double", ("x",))
 
 
 # -- covariance models ----------------------------------------------------------------------------------
@@ -114,14 +161,13 @@ def covariances(nodes: DataFrame, model: str = "brownian", value: float = 1.0, c
 
 def ancestral_values(nodes: DataFrame, traits: DataFrame, method: str = "PIC") -> DataFrame:
     """(tree_id, node, value, lower, upper, rate) of the internal nodes by ``ace_continuous``; traits: (label, x)."""
-    tips = nodes.join(traits.select("label", "x"), "label", "left").select("tree_id", "node", "parent", "length", "label", "x")
 
-    def run(key, rows):
-        tree = tree_of(rows)
-        value, rate, spread = ace_continuous(tree, dict(zip(rows["label"], rows["x"])), method)
-        return pd.DataFrame([(key[0], tree.ids[v], value[v], *spread[v], rate) for v in value], columns=["tree_id", "node", "value", "lower", "upper", "rate"])
+    def run(tree):
+        value, rate, spread = ace_continuous(tree, dict(zip(tree.label, tree.extra[0])), method)
+        return [(tree.ids[v], value[v], *spread[v], rate) for v in value]
 
-    return tips.groupBy("tree_id").applyInPandas(run, f"tree_id long, node {nodes.schema['node'].dataType.simpleString()}, value double, lower double, upper double, rate double")
+    kind = nodes.schema["node"].dataType.simpleString()
+    return rows_per_tree(_with_trait(nodes, traits), run, f"node {kind}, value double, lower double, upper double, rate double", ("x",))
 
 
 def gls(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.functions.phylo import Phylo
-from sylva.operators.comparative import per_tree, tree_of
+from sylva.operators.comparative import rows_per_tree, tree_of
 from sylva.operators.tree_tables import with_children
 from sylva.sources.readers import NODES, tree_rows
 
@@ -29,7 +29,7 @@ def _table(key: int, tree: Phylo) -> pd.DataFrame:
 
 def edited(nodes: DataFrame, f: Callable[[Phylo], Phylo]) -> DataFrame:
     """The trees that ``f`` makes of each tree, as a table of nodes."""
-    return nodes.select(*_COLUMNS).groupBy("tree_id").applyInPandas(lambda key, rows: _table(key[0], f(tree_of(rows))), f"tree_id long, {NODES}")
+    return rows_per_tree(nodes, lambda tree: tree_rows(f(tree)), NODES)
 
 
 # -- rooting --------------------------------------------------------------------------------------------
@@ -159,15 +159,15 @@ def edge_ranks(nodes: DataFrame, order: str = "cladewise", siblings: str | None
 
     def run(tree):
         found = edge_order(sorted_children(tree, siblings, **options), tree.root, order)
-        return pd.DataFrame({"node": [tree.ids[v] for v in found], "rank": range(1, len(found) + 1)})
+        return [(tree.ids[v], k) for k, v in enumerate(found, 1)]
 
-    return per_tree(nodes, run, f"node {nodes.schema['node'].dataType.simpleString()}, rank long")
+    return rows_per_tree(nodes, run, f"node {nodes.schema['node'].dataType.simpleString()}, rank long")
 
 
 def node_heights(nodes: DataFrame) -> DataFrame:
     """(tree_id, node, height): tips are numbered cladewise, inner nodes stand at the mean of their children."""
     kind = nodes.schema["node"].dataType.simpleString()
-    return per_tree(nodes, lambda t: pd.DataFrame({"node": t.ids, "height": t.node_heights()}), f"node {kind}, height double")
+    return rows_per_tree(nodes, lambda t: zip(t.ids, t.node_heights().tolist()), f"node {kind}, height double")
 
 
 def node_distances(nodes: DataFrame) -> DataFrame:
@@ -175,11 +175,11 @@ def node_distances(nodes: DataFrame) -> DataFrame:
     kind = nodes.schema["node"].dataType.simpleString()
 
     def run(tree):
-        d, ids = tree.patristic(), np.array(tree.ids)
-        i, j = np.triu_indices(len(tree))
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "dist": d[i, j]})
+        d = tree.patristic()
+        for i, a in enumerate(tree.ids):
+            yield from zip([a] * (len(tree) - i), tree.ids[i:], d[i, i:].tolist())
 
-    return per_tree(nodes, run, f"a {kind}, b {kind}, dist double")
+    return rows_per_tree(nodes, run, f"a {kind}, b {kind}, dist double")
 
 
 def clade_lengths(nodes: DataFrame) -> DataFrame:
@@ -188,10 +188,9 @@ def clade_lengths(nodes: DataFrame) -> DataFrame:
 
     def run(tree):
         clades = tree.clades()
-        return pd.DataFrame({"clade": [",".join(sorted(x or "" for x in clades[v])) for v in range(len(tree))], "length": [np.nan if x is None else x for x in tree.length]})
+        return [(",".join(sorted(x or "" for x in clades[v])), tree.length[v]) for v in range(len(tree))]
 
-    out = per_tree(nodes, run, "clade string, length double")
-    return out.withColumn("length", F.nanvl("length", F.lit(None).cast("double")))
+    return rows_per_tree(nodes, run, "clade string, length double")
 
 
 # -- sets of trees ----------------------------------------------------------------------------------------

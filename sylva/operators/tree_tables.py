@@ -57,8 +57,20 @@ def root_paths(nodes: DataFrame, reach: DataFrame | None = None) -> DataFrame:
 
 
 def node_depth(nodes: DataFrame, method: int = 1, reach: DataFrame | None = None) -> DataFrame:
-    """(tree_id, node, depth): tips below (method 1) or 1 + levels below (method 2)."""
-    reach = closure(nodes) if reach is None else reach
+    """(tree_id, node, depth): tips below (method 1) or 1 + levels below (method 2); from a closure if there is one, else by one kernel a tree."""
+    if reach is None:
+        from sylva.operators.comparative import rows_per_tree
+
+        def count(tree):
+            if method == 1:
+                return zip(tree.ids, tree.tip_counts().tolist())
+            levels = [1] * len(tree)
+            for v in tree.postorder():
+                if tree.children[v]:
+                    levels[v] = 1 + max(levels[c] for c in tree.children[v])
+            return zip(tree.ids, levels)
+
+        return rows_per_tree(nodes, count, f"node {nodes.schema['node'].dataType.simpleString()}, depth long")
     tips = with_children(nodes).where("is_tip").select("tree_id", "node")
     below = reach.join(tips, ["tree_id", "node"])
     depth = F.count("*") if method == 1 else (F.max("hops") + 1).cast("long")
@@ -253,10 +265,35 @@ def from_taxonomy(paths: DataFrame, levels: list[str], tree_id: int = 1) -> Data
     return out.select(F.lit(tree_id).cast("long").alias("tree_id"), "node", "parent", F.lit(None).cast("double").alias("length"), "label")
 
 
+def _left(tree):
+    """(node, parent, length, label) of what is left of a tree without the tips marked in its extra column."""
+    gone, order = tree.extra[0], tree.preorder()
+    live = [not tree.children[v] and not gone[v] for v in range(len(tree))]
+    for v in reversed(order):
+        live[v] = live[v] or any(live[c] for c in tree.children[v])
+    has_length = any(x is not None for x in tree.length)
+    stays = [live[v] and sum(live[c] for c in tree.children[v]) != 1 for v in range(len(tree))]
+    above: list[tuple[int | None, float]] = [(None, 0.0)] * len(tree)  # nearest node that stays, and the length up to it
+    for v in order[1:]:
+        p = tree.parent[v]
+        up, way = (p, 0.0) if stays[p] else above[p]
+        above[v] = (up, way + (tree.length[v] or 0.0))
+    for v in order:
+        if stays[v]:
+            up, way = above[v]
+            yield tree.ids[v], None if up is None else tree.ids[up], way if has_length and up is not None else None, tree.label[v]
+
+
 def drop_tips(nodes: DataFrame, labels: DataFrame | list[str], reach: DataFrame | None = None) -> DataFrame:
-    """The nodes left without the tips (a table with their label, or a list): dead internal nodes go, nodes with one child are joined with it."""
-    reach = closure(nodes) if reach is None else reach
+    """The nodes left without the tips (a table with their label, or a list): dead internal nodes go, nodes with one child are joined with it.
+    From a closure if there is one, else by one kernel a tree."""
     gone = labels if isinstance(labels, DataFrame) else nodes.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+    if reach is None:
+        from sylva.operators.comparative import rows_per_tree
+
+        marked = nodes.join(gone.select("label").distinct().withColumn("gone", F.lit(True)), "label", "left")
+        kind = nodes.schema["node"].dataType.simpleString()
+        return rows_per_tree(marked, _left, f"node {kind}, parent {kind}, length double, label string", ("gone",))
     kept = with_children(nodes).where("is_tip").join(gone.select("label"), "label", "left_anti").select("tree_id", "node")
     live = reach.join(kept, ["tree_id", "node"]).select("tree_id", F.col("ancestor").alias("node")).distinct()
     alive = nodes.join(live, ["tree_id", "node"], "left_semi")

@@ -9,16 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.phylo import Phylo, format_number, write_newick
-from sylva.operators.comparative import tree_of
+from sylva.operators.comparative import rows_per_tree
 
 
 def to_newick(nodes: DataFrame, digits: int = 10) -> DataFrame:
     """(tree_id, newick) of a table of nodes."""
 
-    def run(key, rows):
-        return pd.DataFrame({"tree_id": [key[0]], "newick": [write_newick(tree_of(rows), digits)]})
-
-    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id long, newick string")
+    return rows_per_tree(nodes, lambda tree: [(write_newick(tree, digits),)], "newick string")
 
 
 def write_trees(nodes: DataFrame, path: str, digits: int = 10, mode: str = "error") -> None:
@@ -40,20 +37,12 @@ def nexus_document(trees: list[tuple[str, Phylo]], digits: int = 10, translate:
 
 def to_nexus(nodes: DataFrame, digits: int = 10, translate: bool = True) -> DataFrame:
     """(tree_id, value): a NEXUS document for each tree."""
-
-    def run(key, rows):
-        return pd.DataFrame({"tree_id": [key[0]], "value": [nexus_document([(f"tree{key[0]}", tree_of(rows))], digits, translate)]})
-
-    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id long, value string")
+    return rows_per_tree(nodes, lambda tree: [(nexus_document([("tree", tree)], digits, translate),)], "value string")
 
 
 def to_phyloxml(nodes: DataFrame) -> DataFrame:
     """(tree_id, value): a phyloXML document for each tree."""
-
-    def run(key, rows):
-        return pd.DataFrame({"tree_id": [key[0]], "value": [phyloxml_document([(f"tree{key[0]}", tree_of(rows))])]})
-
-    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id long, value string")
+    return rows_per_tree(nodes, lambda tree: [(phyloxml_document([(None, tree)]),)], "value string")
 
 
 def alignment_documents(seqs: DataFrame, form: str = "phylip", key: str = "alignment", **options) -> DataFrame:
