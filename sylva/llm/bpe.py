@@ -10,7 +10,7 @@ file's special tokens recognised in the text first.
 
 Defined results: a null or empty text, or one of white space only, has no tokens and decodes to an empty
 string. Very long texts and words are encoded whole; a fragment of n bytes takes O(n log n) steps.
-Repeated rows are encoded one by one alike. Other columns are ignored.
+Repeated rows are encoded one by one alike. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ matrix rows of its n-grams in numpy, batch by batch.
 
 Defined results: a null text, an empty text or a text without any letter is ``und`` with score 0. Ties
 go to the language that sorts first. Repeated rows are scored one by one alike. Without any usable
-training row every text is ``und``. Very long texts are scored whole, in pieces that overlap by
+training row every text is ``und``. An empty table gives an empty result. Very long texts are scored whole, in pieces that overlap by
 ``max_n - 1`` characters. Columns other than the ones named are ignored.
 """
 

@@ -8,7 +8,8 @@ many training documents fall as are labelled 0; it is mapped to ``CUT`` on the s
 
 Defined results: a null text is scored as an empty one, which has a vector of its own. Without both kinds
 of labels in the training rows all weights are 0, and every document scores ``CUT``. Ties share a score. Repeated rows are scored one by one
-alike; repeated labels of an id each count. Very long texts are read whole, in pieces. Other columns are ignored.
+alike; repeated labels of an id each count. An empty table gives an empty result. The score is no calibrated probability: a third of the
+spread of the training scores is one unit on the logit scale. Very long texts are read whole, in pieces. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ A shard consists of blocks, which are the targets, so no task holds a shard. A b
 where there would be more than ``MAX_TARGETS`` blocks; a target sorts what it gets and may spill.
 
 Shard sizes follow the law ``rows``: they differ by one at most, and the first shards are the larger ones.
-Defined results: a null text counts as an empty one. Null ids and repeated rows are dealt out like any
+Defined results: a null text counts as an empty one; texts of any length travel as they are, or not at all if they are not kept. Null ids and repeated rows are dealt out like any
 other rows. An empty table gives an empty result. Groups of equal texts are not held together, as a
 group may be larger than a shard. Other columns travel along if they are named in ``keep``.
 """

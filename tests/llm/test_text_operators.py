@@ -51,6 +51,43 @@ def test_language_scores_match_a_plain_sum():
         language_id.PIECE = old
 
 
+def plain_bayes(rows, texts, bits, max_n, smoothing):
+    """Joint log-probabilities by dictionaries and Python integers."""
+    import math
+
+    def buckets(text):
+        codes = [ord(c) if ord(c) >= 128 or "a" <= c <= "z" else 32 for c in text.lower()]
+        for n in range(1, max_n + 1):
+            for i in range(len(codes) - n + 1):
+                h = n
+                for k in range(n):
+                    h = ((h ^ codes[i + k]) * int(language_id._MIX[k])) & 0xFFFFFFFF
+                    h ^= h >> 15
+                yield h >> (32 - bits)
+
+    langs = sorted({k for _, k in rows})
+    counts = {k: {} for k in langs}
+    for text, k in rows:
+        for b in buckets(text):
+            counts[k][b] = counts[k].get(b, 0) + 1
+    out = []
+    for t in texts:
+        own = list(buckets(t))
+        out.append([math.log(sum(k == x for _, x in rows) / len(rows)) + sum(math.log((counts[k].get(b, 0) + smoothing) / (sum(counts[k].values()) + smoothing * 2**bits)) for b in own) for k in langs])
+    return langs, out
+
+
+def test_language_scores_match_plain_bayes(spark):
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, 8, lang), lang) for i, lang in enumerate(["en", "de", "fr", "de"] * 6)]
+    model = language_id.train(documents(spark, rows), bits=12, max_n=3)
+    texts = [sentence(rng, 5, lang) for lang in ("en", "de", "fr")] + ["ß", "", "the und les", "x" * 300_000]
+    langs, want = plain_bayes([r[1:] for r in rows], texts, 12, 3, 0.5)
+    got = model.scores(texts)
+    assert list(model.languages) == langs and np.allclose(got, want, rtol=1e-5, atol=1e-3)
+    assert model.predict(texts[:3])[0] == [langs[int(np.argmax(w))] for w in want[:3]]
+
+
 # -- pages --------------------------------------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a = "</p>";</script></head><body>
 <header><p>Site name and a long slogan that is not part of the article at all</p></header><nav><ul><li><a href="/a">Home</a></li></ul></nav>
@@ -292,6 +329,33 @@ def test_bradley_terry_recovers_an_order():
     assert s[y == 1].mean() > s[y == 0].mean() + 0.3 and ((s >= 0.7) == y).mean() > 0.95
 
 
+def test_quality_fit_is_the_minimum_of_the_pair_loss():
+    """Against the loss written out pair by pair, and scores written out document by document."""
+    import math
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 4))
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=60) > 0.3).astype(int)
+    model = quality.fit(x, y, pairs=500, ridge=3.0, seed=11)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    z = [[min(5.0, max(-5.0, (v - m) / s)) for v, m, s in zip(row, mean, scale)] for row in x.tolist()]
+    draw = np.random.default_rng(11)
+    pairs = list(zip(draw.choice(np.flatnonzero(y == 1), 500), draw.choice(np.flatnonzero(y == 0), 500)))
+
+    def loss(w):
+        apart = (sum(wi * (a - b) for wi, a, b in zip(w, z[i], z[j])) for i, j in pairs)
+        return sum(math.log1p(math.exp(-d)) for d in apart) + 1.5 * sum(v * v for v in w)
+
+    best = model.weight.tolist()
+    for k in range(4):
+        for step in (-1e-3, 1e-3):
+            assert loss([v + step * (i == k) for i, v in enumerate(best)]) > loss(best)
+    raw = [sum(a * b for a, b in zip(best, row)) for row in z]
+    assert sum(r < model.cut for r in raw) == (y == 0).sum()
+    for r, s in zip(raw, model.score(x)):
+        assert abs(s - 1 / (1 + math.exp(-(r - model.cut) / model.spread) * (0.3 / 0.7))) < 1e-6 and (s >= 0.7) == (r >= model.cut)
+
+
 def test_crc_of_ids(spark):
     from sylva.llm.common import crc32_of_id
 
