@@ -474,7 +474,8 @@ def lm_origin(y: np.ndarray, x: np.ndarray, origin: bool = True, n_perm: int = 9
         b = np.linalg.lstsq(x, y, rcond=None)[0]
         r = y - x @ b
         total = (y @ y) if origin else ((y - y.mean()) ** 2).sum()
-        return b, float(((total - r @ r) / p) / (r @ r / (len(y) - x.shape[1])))
+        rest = float(r @ r / (len(y) - x.shape[1]))
+        return b, float((total - r @ r) / p) / rest if rest else math.inf
 
     b, obs = f(y)
     hits = 1
