@@ -625,19 +625,39 @@ def mst(spark, sf_dir):
     return r6(I.spanning_trees(V.vector_distances(spark, sf_dir)), "d")
 
 
-@query()
+@query(DIST + "SELECT CAST(i AS VARCHAR) AS i, CAST(j AS VARCHAR) AS j, round(d, 5) AS d FROM distances")
 def pcoa(spark, sf_dir):
-    return P.pcoa(V.vector_distances(spark, sf_dir)).groupBy("axis").agg(F.round(F.first("eigenvalue"), 3).alias("eigenvalue"), F.round(F.first("relative"), 6).alias("relative"), F.round(F.first("broken_stick"), 6).alias("broken_stick"))
+    """The distances of the principal coordinates, which are those that went in."""
+    scores = P.pcoa(V.vector_distances(spark, sf_dir)).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "score"))), lambda x: x["score"]).alias("s"))
+    a, b = scores.select(F.col("label").alias("i"), F.col("s").alias("a")), scores.select(F.col("label").alias("j"), F.col("s").alias("b"))
+    d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    return a.join(b, F.col("i").cast("long") < F.col("j").cast("long")).select("i", "j", F.round(d, 5).alias("d"))
 
 
-@query()
+# a running sum that starts again after 3600 seconds numbers the groups; what is left at the end joins the last group
+COLLAPSED = (
+    GAP_IVALS.rstrip()
+    + """, fold AS (SELECT tree_id, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS total, CAST(1 AS BIGINT) AS g, CAST(1 AS BIGINT) AS own FROM (SELECT DISTINCT tree_id FROM iv)
+  UNION ALL SELECT f.tree_id, f.k + 1, CASE WHEN f.total + iv.w > 3600 THEN 0 ELSE f.total + iv.w END, f.g + CASE WHEN f.total + iv.w > 3600 THEN 1 ELSE 0 END, f.g FROM fold f JOIN iv ON iv.tree_id = f.tree_id AND iv.k = f.k + 1),
+grouped AS (SELECT iv.*, least(own, greatest(max(g) OVER (PARTITION BY f.tree_id) - 1, 1)) AS grp, lineages * (lineages - 1) / 2 AS c FROM fold f JOIN iv ON iv.tree_id = f.tree_id AND iv.k = f.k),
+sizes AS (SELECT tree_id, grp, avg(w * c) AS ne, sum(w) AS width FROM grouped GROUP BY tree_id, grp)\n"""
+)
+
+
+@query(COLLAPSED + "SELECT tree_id, CAST(grp AS INTEGER) AS grp, round(sum(width) OVER (PARTITION BY tree_id ORDER BY grp), 3) AS time, round(width, 3) AS width, round(ne, 3) AS ne FROM sizes")
 def skyline_generalised(spark, sf_dir):
-    return r6(TT.skyline_groups(TT.collapse_intervals(_gap_intervals(spark, sf_dir), 3600.0)), "time", "width", "ne")
+    out = TT.skyline_groups(TT.collapse_intervals(_gap_intervals(spark, sf_dir), 3600.0))
+    return out.withColumns({c: F.round(c, 3) for c in ("time", "width", "ne")})
 
 
-@query()
+@query(
+    COLLAPSED.rstrip()
+    + """, l AS (SELECT g.tree_id, sum(ln(c / ne) - w * c / ne) AS loglik, count(DISTINCT g.grp) AS p, count(*) AS n FROM grouped g JOIN sizes s ON s.tree_id = g.tree_id AND s.grp = g.grp GROUP BY g.tree_id)
+SELECT tree_id, round(loglik, 5) AS loglik, p AS params, round(CASE WHEN n - p > 1 THEN loglik - p * n / (n - p - 1) END, 5) AS aicc FROM l"""
+)
 def skyline_aicc(spark, sf_dir):
-    return r6(TT.skyline_likelihood(TT.collapse_intervals(_gap_intervals(spark, sf_dir), 3600.0)), "loglik", "aicc")
+    out = TT.skyline_likelihood(TT.collapse_intervals(_gap_intervals(spark, sf_dir), 3600.0))
+    return out.withColumns({c: F.round(c, 5) for c in ("loglik", "aicc")})
 
 
 @query(

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from sylva.catalog_edits import CALENDAR, CAT, INNER4, PLACED, SEQS, TIPS5, calendar, cat, clades, edited_sql
 from sylva.operators import clades as C
+from sylva.operators import comparative as K
 from sylva.operators import dating as A
 from sylva.operators import distances as D
+from sylva.operators import edits as E
+from sylva.operators import inference as I
 from sylva.operators import labels as L
 from sylva.operators import sequences as S
 from sylva.operators import spatial as P
@@ -295,3 +298,158 @@ def read_tree_file(spark, sf_dir):
     path = shared_folder(spark)
     W.write_trees(cat(spark, sf_dir), path)
     return clades(R.read_newick(spark, path).drop("name")).groupBy("clade", "length").agg(F.count("*").alias("n"))
+
+
+# -- fits, densities, layouts -------------------------------------------------------------------------------------
+def _two_traits(spark, sf_dir):
+    kinds = V.read(spark, sf_dir, "events").select(F.col("event_type").alias("label")).distinct()
+    return kinds.select("label", F.length("label").cast("double").alias("y"), F.ascii("label").cast("double").alias("x"))
+
+
+def _contrasts(name: str, value: str) -> str:
+    """Contrasts of a trait over the caterpillars, from the cherry to the root."""
+    x = ", ".join(f"CAST({value.format(f'types[{i}]')} AS DOUBLE) AS x{i}" for i in range(1, 6))
+    return f""", {name}0 AS (SELECT tree_id, {x} FROM weeks), {name}4 AS (SELECT *, (x4 - x5) / 3 AS c4, (x4 * 5 + x5 * 4) / 9 AS y4, 1 + 20.0 / 9 AS e4 FROM {name}0),
+{name}3 AS (SELECT *, (x3 - y4) / sqrt(3 + e4) AS c3, (x3 * e4 + y4 * 3) / (3 + e4) AS y3, 1 + 3 * e4 / (3 + e4) AS e3 FROM {name}4),
+{name}2 AS (SELECT *, (x2 - y3) / sqrt(2 + e3) AS c2, (x2 * e3 + y3 * 2) / (2 + e3) AS y2, 1 + 2 * e3 / (2 + e3) AS e2 FROM {name}3),
+{name}1 AS (SELECT *, (x1 - y2) / sqrt(1 + e2) AS c1, (x1 * e2 + y2) / (1 + e2) AS y1 FROM {name}2)"""
+
+
+# a regression under Brownian motion has the slope of the contrasts' regression through the origin, and passes through the root's estimates
+@query(
+    V.with_views("weeks").rstrip()
+    + _contrasts("p", "length({})")
+    + _contrasts("q", "ascii({})")
+    + """, f AS (SELECT p.tree_id, p.y1 AS py, q.y1 AS qy, (p.c1 * q.c1 + p.c2 * q.c2 + p.c3 * q.c3 + p.c4 * q.c4) / (q.c1 * q.c1 + q.c2 * q.c2 + q.c3 * q.c3 + q.c4 * q.c4) AS b,
+  p.c1 * p.c1 + p.c2 * p.c2 + p.c3 * p.c3 + p.c4 * p.c4 AS pp, q.c1 * q.c1 + q.c2 * q.c2 + q.c3 * q.c3 + q.c4 * q.c4 AS qq FROM p1 p JOIN q1 q USING (tree_id))
+SELECT tree_id, round(b, 6) AS slope, round(sqrt((pp - b * b * qq) / 3 / qq), 6) AS se, round(py - b * qy, 6) AS intercept, round((pp - b * b * qq) / 3, 6) AS variance FROM f"""
+)
+def gls_brownian(spark, sf_dir):
+    fits = K.gls_fits(cat(spark, sf_dir), _two_traits(spark, sf_dir), ["x"])
+    slope = fits.where("term = 'x'").select("tree_id", F.round("estimate", 6).alias("slope"), F.round("se", 6).alias("se"), F.round("variance", 6).alias("variance"))
+    return slope.join(fits.where("term = 'intercept'").select("tree_id", F.round("estimate", 6).alias("intercept")), "tree_id")
+
+
+@query("SELECT CAST(x AS BIGINT) AS x, round(exp(-0.6) * pow(1 - exp(-0.6), x - 1), 9) AS p FROM range(1, 40) t(x)")
+def dyule(spark, sf_dir):
+    return spark.range(1, 40).select(F.col("id").alias("x"), F.round(TT.yule_density(F.col("id"), 0.3, 2.0), 9).alias("p"))
+
+
+@query(
+    """WITH r AS (SELECT exp(0.4) AS e), c AS (SELECT 0.1 * (e - 1) / (0.3 * e - 0.1) AS a, 0.3 * (e - 1) / (0.3 * e - 0.1) AS b FROM r)
+SELECT CAST(x AS BIGINT) AS x, round(CASE WHEN x = 0 THEN a ELSE (1 - a) * (1 - b) * pow(b, x - 1) END, 9) AS p, round(CASE WHEN x = 0 THEN 0 ELSE (1 - b) * pow(b, x - 1) END, 9) AS alive FROM c, range(0, 40) t(x)"""
+)
+def dbd(spark, sf_dir):
+    x = F.col("id")
+    return spark.range(40).select(x.alias("x"), F.round(TT.birth_death_density(x, 0.3, 0.1, 2.0), 9).alias("p"), F.round(TT.birth_death_density(x, 0.3, 0.1, 2.0, conditional=True), 9).alias("alive"))
+
+
+@query(
+    V.with_views("gaps").rstrip()
+    + """, d AS (SELECT user_id, (k - lag(k) OVER o) * (w + lag(w) OVER o) / 2 AS a FROM gaps WINDOW o AS (PARTITION BY user_id ORDER BY k))
+SELECT user_id, round(coalesce(sum(a), 0), 3) AS integral FROM d GROUP BY user_id"""
+)
+def integrate_trapeze(spark, sf_dir):
+    return TT.trapezoids(V.user_gaps(spark, sf_dir), "user_id", "k", "w").withColumn("integral", F.round("integral", 3))
+
+
+DRAWN = V.with_views("heap", "closure", tree="heap").rstrip() + """, tips AS (SELECT node FROM heap WHERE node NOT IN (SELECT parent FROM heap WHERE parent IS NOT NULL)),
+y AS (SELECT node, row_number() OVER (ORDER BY bin(node)) AS y FROM tips), h AS (SELECT c.ancestor AS node, sum(y * pow(0.5, hops)) AS y FROM closure c JOIN y USING (node) GROUP BY c.ancestor),
+d AS (SELECT node, max(hops) AS level, max_by(dist, hops) AS x FROM closure GROUP BY node)\n"""
+
+
+@query(DRAWN + "SELECT node, round(x, 6) AS x, round(y, 6) AS y FROM d JOIN h USING (node)")
+def plot_phylo_coor(spark, sf_dir):
+    return E.layout(V.heap_tree(spark, sf_dir)).select("node", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(DRAWN + "SELECT node, CAST(level AS DOUBLE) AS x, round(y, 6) AS y FROM d JOIN h USING (node)")
+def cladogram_layout(spark, sf_dir):
+    return E.layout(V.heap_tree(spark, sf_dir), "cladogram").select("node", "x", F.round("y", 6).alias("y"))
+
+
+@query(DRAWN + "SELECT node, round(x * cos(2 * pi() * (y - 1) / n), 6) AS x, round(x * sin(2 * pi() * (y - 1) / n), 6) AS y FROM d JOIN h USING (node), (SELECT count(*) AS n FROM tips)")
+def circular_layout(spark, sf_dir):
+    return E.layout(V.heap_tree(spark, sf_dir), "fan").select("node", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("SELECT c_custkey AS k, round(sqrt(pow(c_acctbal / 1000, 2) + pow(c_nationkey - 12, 2)), 6) AS r, round(atan2(c_nationkey - 12, c_acctbal / 1000), 6) AS angle FROM customer")
+def rect2polar(spark, sf_dir):
+    out = V.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), *E.to_polar(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double") - 12))
+    return out.select("k", F.round("r", 6).alias("r"), F.round("angle", 6).alias("angle"))
+
+
+@query("SELECT c_custkey AS k, round(c_acctbal / 1000 * cos(c_nationkey), 6) AS x, round(c_acctbal / 1000 * sin(c_nationkey), 6) AS y FROM customer")
+def polar2rect(spark, sf_dir):
+    out = V.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), *E.to_cartesian(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double")))
+    return out.select("k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+# -- clusterings, covariances and incomplete matrices ---------------------------------------------------------------
+def level_cat(spark, sf_dir):
+    """The caterpillars with all tips at the same depth."""
+    return cat(spark, sf_dir).withColumn("length", F.when(F.col("node") < 6, 5 - F.least("node", F.lit(4))).otherwise(F.col("length")).cast("double"))
+
+
+LEVEL = edited_sql("SELECT tree_id, node, parent, CASE WHEN node < 6 THEN CAST(5 - least(node, 4) AS DOUBLE) ELSE length END AS length, label FROM cat")
+
+
+@query(V.with_views("weeks") + "SELECT tree_id, CAST(k AS INTEGER) AS k, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, 2.0::DOUBLE * k AS height FROM weeks, (VALUES (1, -5, -4), (2, -3, 1), (3, -2, 2), (4, -1, 3)) v(k, a, b)")
+def as_hclust(spark, sf_dir):
+    return N.merges(level_cat(spark, sf_dir))
+
+
+@query(LEVEL)
+def as_phylo_hclust(spark, sf_dir):
+    nodes = level_cat(spark, sf_dir)
+    labels = nodes.where("label is not null").select("tree_id", F.col("node").alias("tip"), "label")
+    return clades(N.from_merges(N.merges(nodes), labels))
+
+
+@query(edited_sql("SELECT * FROM cat"))
+def vcv2phylo(spark, sf_dir):
+    v = K.covariances(cat(spark, sf_dir)).withColumnRenamed("tree_id", "matrix_id")
+    return clades(R.parse_trees(I.trees_from_covariances(v), key="matrix_id").drop("name"))
+
+
+HOLED = """, placed AS (SELECT tree_id, types[i] AS t, i AS k FROM weeks, (SELECT unnest([1, 2, 3, 4, 5]) AS i)),
+d AS (SELECT a.tree_id AS matrix_id, a.t AS i, b.t AS j, CAST({d} AS DOUBLE) AS d FROM placed a JOIN placed b ON a.tree_id = b.tree_id AND a.t <> b.t),
+hole AS (SELECT min(event_type) AS lo, min(event_type) FILTER (event_type > (SELECT min(event_type) FROM events)) AS hi FROM events),
+known AS (SELECT d.* FROM d, hole WHERE NOT (i = lo AND j = hi) AND NOT (i = hi AND j = lo))\n"""
+SAME_LEVEL = HOLED.format(d="2 * (5 - least(a.k, b.k, 4))")
+UNEVEN = HOLED.format(d="a.k + b.k + abs(least(a.k, 4) - least(b.k, 4))")
+
+
+def _holed(nodes, spark, sf_dir):
+    kinds = sorted(r[0] for r in V.read(spark, sf_dir, "events").select("event_type").distinct().collect())
+    label = nodes.where("label is not null").select("tree_id", "node", "label")
+    named = T.cophenetic(nodes).join(label.toDF("tree_id", "a", "x"), ["tree_id", "a"]).join(label.toDF("tree_id", "b", "y"), ["tree_id", "b"])
+    d = named.select(F.col("tree_id").alias("matrix_id"), F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.col("dist").alias("d"))
+    return d.where((F.col("i") != kinds[0]) | (F.col("j") != kinds[1]))
+
+
+@query(V.with_views("weeks").rstrip() + SAME_LEVEL + "SELECT matrix_id, i, j, d FROM known WHERE i < j UNION ALL SELECT a.matrix_id, lo, hi, min(greatest(a.d, b.d)) FROM hole, known a JOIN known b ON a.matrix_id = b.matrix_id AND a.j = b.j WHERE a.i = lo AND b.i = hi GROUP BY a.matrix_id, lo, hi")
+def ultrametric(spark, sf_dir):
+    return I.filled_distances(_holed(level_cat(spark, sf_dir), spark, sf_dir), "ultrametric")
+
+
+@query(
+    V.with_views("weeks").rstrip()
+    + UNEVEN
+    + """SELECT matrix_id, i, j, d FROM known WHERE i < j
+UNION ALL SELECT x.matrix_id, lo, hi, min(greatest(x.d + w.d, y.d + z.d) - k.d) FROM hole, known k JOIN known x ON x.matrix_id = k.matrix_id AND x.j = k.i JOIN known y ON y.matrix_id = k.matrix_id AND y.j = k.j
+JOIN known z ON z.matrix_id = k.matrix_id AND z.j = k.i JOIN known w ON w.matrix_id = k.matrix_id AND w.j = k.j WHERE x.i = lo AND y.i = lo AND z.i = hi AND w.i = hi GROUP BY x.matrix_id, lo, hi"""
+)
+def additive(spark, sf_dir):
+    return I.filled_distances(_holed(cat(spark, sf_dir), spark, sf_dir), "additive")
+
+
+@query(
+    CALENDAR.rstrip()
+    + """, s AS (SELECT label, pos, CASE WHEN base = '-' AND pos % 3 > 0 THEN 'a' ELSE base END AS base FROM sites), full_sites AS (SELECT pos FROM s GROUP BY pos HAVING count(*) FILTER (base = '-') = 0)
+SELECT a.label AS i, b.label AS j, round(avg(CASE WHEN a.base <> b.base THEN 1.0 ELSE 0.0 END), 6) AS d FROM s a JOIN s b ON a.pos = b.pos AND a.label < b.label WHERE a.pos IN (SELECT pos FROM full_sites) GROUP BY a.label, b.label"""
+)
+def dist_global_deletion(spark, sf_dir):
+    seqs = V.calendar_alignment(spark, sf_dir)
+    partly = F.array_join(F.transform(F.split("seq", ""), lambda c, i: F.when((c == "-") & ((i + 1) % 3 > 0), F.lit("a")).otherwise(c)), "")
+    return D.dist_dna(seqs.withColumn("seq", partly), "raw").withColumn("d", F.round("d", 6))

@@ -180,6 +180,22 @@ def gls(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.nda
     return beta, cov * s2, s2
 
 
+def gls_fits(nodes: DataFrame, traits: DataFrame, predictors: list[str], response: str = "y", model: str = "brownian", value: float = 1.0) -> DataFrame:
+    """(tree_id, term, estimate, se, variance): generalised least squares over the tips of each tree under a covariance model;
+    traits: (label, response, predictors)."""
+    columns = (response, *predictors)
+    met = nodes.join(traits.select("label", *columns), "label", "left")
+
+    def run(tree):
+        v, names = covariance(tree, model, value)
+        rows = {x: [c[k] for c in tree.extra] for k, x in enumerate(tree.label) if tree.is_tip(k)}
+        data = np.array([rows[x] for x in names], float)
+        beta, cov, s2 = gls(data[:, 0], np.column_stack([np.ones(len(data)), data[:, 1:]]), v)
+        return [(term, float(b), float(np.sqrt(c)), s2) for term, b, c in zip(["intercept", *predictors], beta, np.diag(cov))]
+
+    return rows_per_tree(met, run, "term string, estimate double, se double, variance double", columns)
+
+
 # -- optimisers -----------------------------------------------------------------------------------------
 def golden(f: Callable[[float], float], lo: float, hi: float, tol: float = 1e-9) -> float:
     """Minimum of a function of one variable by golden sections."""

@@ -6,6 +6,7 @@ Edits of sets of trees and of single rows stay in DataFrame operations.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.functions.phylo import Phylo
+from sylva.operators import tree_tables as T
 from sylva.operators.comparative import rows_per_tree, tree_of
-from sylva.operators.tree_tables import with_children
 from sylva.sources.readers import NODES, tree_rows
 
 _COLUMNS = ("tree_id", "node", "parent", "length", "label")
@@ -170,6 +171,27 @@ def node_heights(nodes: DataFrame) -> DataFrame:
     return rows_per_tree(nodes, lambda t: zip(t.ids, t.node_heights().tolist()), f"node {kind}, height double")
 
 
+def to_polar(x: Column, y: Column) -> tuple[Column, Column]:
+    """Radius and angle of a point."""
+    return F.sqrt(x * x + y * y).alias("r"), F.atan2(y, x).alias("angle")
+
+
+def to_cartesian(r: Column, angle: Column) -> tuple[Column, Column]:
+    """x and y of a point."""
+    return (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y")
+
+
+def layout(nodes: DataFrame, kind: str = "phylogram") -> DataFrame:
+    """(tree_id, node, x, y): where a drawing has the nodes: depth and height of a phylogram, level and height of a cladogram without
+    lengths, or depth and angle of a fan turned into points."""
+    at = T.root_paths(nodes).join(node_heights(nodes), ["tree_id", "node"])
+    depth, height = F.col("level" if kind == "cladogram" else "depth").cast("double"), F.col("height")
+    if kind != "fan":
+        return at.select("tree_id", "node", depth.alias("x"), height.alias("y"))
+    tips = T.with_children(nodes).groupBy("tree_id").agg(F.count_if("is_tip").alias("n"))
+    return at.join(tips, "tree_id").select("tree_id", "node", *to_cartesian(depth, 2 * math.pi * (height - 1) / F.col("n")))
+
+
 def node_distances(nodes: DataFrame) -> DataFrame:
     """(tree_id, a, b, dist): path length between all pairs of nodes a <= b of each tree."""
     kind = nodes.schema["node"].dataType.simpleString()
@@ -216,7 +238,7 @@ def assign_trees(nodes: DataFrame, values: DataFrame) -> DataFrame:
 def compress_labels(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tip_id, label), one row for each label of a tip of any tree (numbered in one task, as trees of a set share their labels), and the
     nodes with tip_id in place of the tips' labels."""
-    own = with_children(nodes.select(*_COLUMNS))
+    own = T.with_children(nodes.select(*_COLUMNS))
     tips = own.where("is_tip and label is not null").select(F.col("label").alias("tip_label")).distinct().withColumn("tip_id", F.row_number().over(Window.orderBy("tip_label")).cast("long"))
     met = own.join(tips, F.col("is_tip") & (F.col("label") == F.col("tip_label")), "left")
     return tips.select("tip_id", F.col("tip_label").alias("label")), met.select("tree_id", "node", "parent", "length", F.when(~F.col("is_tip"), F.col("label")).alias("label"), "tip_id")

@@ -462,3 +462,36 @@ def spanning_trees(distances: DataFrame) -> DataFrame:
 
     kind = distances.schema["i"].dataType.simpleString()
     return distances.groupBy("matrix_id").applyInPandas(run, f"matrix_id long, i {kind}, j {kind}, d double")
+
+
+FILLS = {"ultrametric": ultrametric_fill, "additive": additive_fill}
+
+
+def filled_distances(distances: DataFrame, method: str = "additive") -> DataFrame:
+    """(matrix_id, i, j, d) for all pairs i < j of each matrix, with missing distances (null, or no row) by the bound of an additive or an
+    ultrametric matrix; null where the bound is not known."""
+    fill = FILLS[method]
+    kind = distances.schema["i"].dataType.simpleString()
+
+    def run(key, rows):
+        d, _ = matrix_of(rows)
+        d = fill(d)
+        ids = sorted(set(rows["i"]) | set(rows["j"]))
+        i, j = np.triu_indices(len(ids), 1)
+        return pd.DataFrame({"matrix_id": key[0], "i": [ids[k] for k in i], "j": [ids[k] for k in j], "d": d[i, j]})
+
+    return distances.groupBy("matrix_id").applyInPandas(run, f"matrix_id long, i {kind}, j {kind}, d double")
+
+
+def trees_from_covariances(covariances: DataFrame, tol: float = 1e-7) -> DataFrame:
+    """(matrix_id, newick): the tree of each covariance matrix (matrix_id, a, b, v with a <= b)."""
+
+    def run(key, rows):
+        names = sorted(set(rows["a"]) | set(rows["b"]))
+        at = {x: k for k, x in enumerate(names)}
+        v = np.zeros((len(names), len(names)))
+        i, j = rows["a"].map(at).to_numpy(), rows["b"].map(at).to_numpy()
+        v[i, j] = v[j, i] = rows["v"].to_numpy(float)
+        return pd.DataFrame({"matrix_id": [key[0]], "newick": [write_newick(tree_from_covariance(v, [str(x) for x in names], tol))]})
+
+    return covariances.groupBy("matrix_id").applyInPandas(run, "matrix_id long, newick string")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.operators.tree_tables import branching_times, root_paths, with_children
@@ -163,3 +165,29 @@ def estimate_rate(nodes: DataFrame, dates: DataFrame, reach: DataFrame | None =
     """(tree_id, mu, intercept): slope of the tips' depths over their dates; dates: (label, date)."""
     tips = with_children(nodes).where("is_tip").join(root_paths(nodes, reach), ["tree_id", "node"]).join(dates, "label")
     return tips.groupBy("tree_id").agg(F.regr_slope("depth", "date").alias("mu"), F.regr_intercept("depth", "date").alias("intercept"))
+
+
+def yule_density(x: Column, rate: float, t: float, log: bool = False) -> Column:
+    """Probability of x species after time t of pure birth."""
+    out = -rate * t + (x - 1) * math.log(-math.expm1(-rate * t))
+    return out if log else F.exp(out)
+
+
+def birth_death_density(x: Column, birth: float, death: float, t: float, conditional: bool = False, log: bool = False) -> Column:
+    """Probability of x species after time t, given survival if ``conditional``; x = 0 is extinction."""
+    if abs(birth - death) < 1e-12:
+        alpha = beta = birth * t / (1 + birth * t)
+    else:
+        e = math.exp((birth - death) * t)
+        alpha, beta = death * (e - 1) / (birth * e - death), birth * (e - 1) / (birth * e - death)
+    alive = math.log1p(-beta) + (x - 1) * math.log(beta) + (0.0 if conditional else math.log1p(-alpha))
+    gone = F.lit(-math.inf if conditional or alpha <= 0 else math.log(alpha))
+    out = F.when(x > 0, alive).otherwise(gone)
+    return out if log else F.exp(out)
+
+
+def trapezoids(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, integral): area under the points of each key, in the order of x."""
+    o = Window.partitionBy(key).orderBy(x)
+    area = (F.col(x) - F.lag(x).over(o)) * (F.col(y) + F.lag(y).over(o)) / 2
+    return points.select(key, area.alias("area")).groupBy(key).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("integral"))

@@ -6,6 +6,7 @@ import math
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +95,26 @@ def merge_table(tree: Phylo) -> list[tuple[int, int, float]]:
     return out
 
 
+def merges(nodes: DataFrame) -> DataFrame:
+    """(tree_id, k, a, b, height): the merges of each ultrametric binary tree, see ``merge_table``."""
+    from sylva.operators.comparative import rows_per_tree
+
+    return rows_per_tree(nodes, lambda t: [(k, a, b, h) for k, (a, b, h) in enumerate(merge_table(t), 1)], "k int, a int, b int, height double")
+
+
+def from_merges(table: DataFrame, labels: DataFrame) -> DataFrame:
+    """A table of nodes from merges and the labels of the tips (tree_id, tip from 1, label)."""
+    from sylva.sources.readers import NODES, tree_rows
+
+    def run(key, rows, names):
+        tree = tree_from_merges(list(rows.sort_values("k")[["a", "b", "height"]].itertuples(index=False, name=None)), list(names.sort_values("tip")["label"]))
+        out = pd.DataFrame(tree_rows(tree), columns=["node", "parent", "length", "label"]).astype({"parent": "Int64"})
+        out.insert(0, "tree_id", key[0])
+        return out
+
+    return table.groupBy("tree_id").cogroup(labels.groupBy("tree_id")).applyInPandas(run, f"tree_id long, {NODES}")
+
+
 def tree_from_merges(merges: list[tuple[int, int, float]], labels: list[str]) -> Phylo:
     """The tree of a table of merges; heights are halved into node ages."""
     n = len(labels)
