@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sylva.catalog_edits import CALENDAR, CAT, INNER4, PLACED, SEQS, TIPS5, calendar, cat, clades, edited_sql
@@ -12,6 +13,8 @@ from sylva.operators import distances as D
 from sylva.operators import edits as E
 from sylva.operators import inference as I
 from sylva.operators import labels as L
+from sylva.operators import reports as O
+from sylva.operators import seq_types as Q
 from sylva.operators import sequences as S
 from sylva.operators import spatial as P
 from sylva.operators import time_tables as TT
@@ -453,3 +456,78 @@ def dist_global_deletion(spark, sf_dir):
     seqs = V.calendar_alignment(spark, sf_dir)
     partly = F.array_join(F.transform(F.split("seq", ""), lambda c, i: F.when((c == "-") & ((i + 1) % 3 > 0), F.lit("a")).otherwise(c)), "")
     return D.dist_dna(seqs.withColumn("seq", partly), "raw").withColumn("d", F.round("d", 6))
+
+
+# -- reports and small forms --------------------------------------------------------------------------------------
+@query(V.with_views("weeks") + "SELECT tree_id, 'tree with 5 tips and 4 inner nodes; tips: ' || array_to_string(types[1:3], ', ') || ', ...; rooted; with branch lengths' AS report FROM weeks")
+def print_phylo(spark, sf_dir):
+    return O.tree_report(cat(spark, sf_dir), shown=3)
+
+
+@query(V.with_views("weeks") + "SELECT count(*) AS n_trees, CAST(5 AS BIGINT) AS min_tips, CAST(5 AS BIGINT) AS max_tips, CAST(5 AS BIGINT) AS n_labels FROM weeks")
+def print_multiphylo(spark, sf_dir):
+    return O.set_report(cat(spark, sf_dir))
+
+
+CENSUS = CLADES_OF.rstrip() + ", census AS (SELECT array_to_string(clade, ',') AS clade, count(*) AS number FROM c GROUP BY clade), total AS (SELECT count(*) AS n FROM weeks)\n"
+
+
+@query(CENSUS + "SELECT row_number() OVER (ORDER BY number DESC, clade) AS place, number, round(number / n, 6) AS share, '{' || clade || '} in ' || number || ' of ' || n || ' trees' AS text FROM census, total")
+def print_prop_part(spark, sf_dir):
+    table = C.clade_table(cat(spark, sf_dir))
+    n = table.select("tree_id").distinct().count()
+    return O.clade_report(C.prop_part(table), n).withColumn("share", F.round("share", 6))
+
+
+@query(SPLITS.rstrip() + ", f AS (SELECT array_to_string(split, ',') AS split, count(*) AS freq FROM s GROUP BY split)\nSELECT split, freq, row_number() OVER (ORDER BY freq DESC, split) AS place FROM f")
+def sort_bitsplits(spark, sf_dir):
+    nodes = cat(spark, sf_dir)
+    tips = nodes.where("label is not null")
+    own = C.splits_of(C.bitsplits(C.split_table(nodes), tips), tips).select(F.concat_ws(",", "split").alias("split"), "freq")
+    return own.withColumn("place", F.row_number().over(Window.orderBy(F.desc("freq"), "split")).cast("long"))
+
+
+@query(CLADES_OF.rstrip() + ", m AS (SELECT clade, bool_or(tree_id = a) AS x, bool_or(tree_id = b) AS y FROM c, ends WHERE tree_id IN (a, b) GROUP BY clade)\nSELECT count(*) FILTER (x AND y) AS shared, count(*) FILTER (NOT y) AS first_only, count(*) FILTER (NOT x) AS second_only, bool_and(x AND y) AS same FROM m")
+def print_compare_phylo(spark, sf_dir):
+    table = C.clade_table(cat(spark, sf_dir))
+    ends = table.agg(F.min("tree_id").alias("a"), F.max("tree_id").alias("b"))
+    x, y = (table.join(F.broadcast(ends.select(F.col(k).alias("tree_id"))), "tree_id") for k in "ab")
+    return O.comparison_report(C.compare_trees(x, y))
+
+
+@query(CAT + "SELECT tree_id, CASE WHEN node > 5 THEN 5 - node ELSE node END AS node, coalesce(5 - parent, 0) AS parent FROM cat")
+def new2old_phylo(spark, sf_dir):
+    return O.signed_ids(cat(spark, sf_dir)).select("tree_id", "node", F.coalesce("parent", F.lit(0)).alias("parent"))
+
+
+@query(CAT + "SELECT tree_id, node, coalesce(parent, 0) AS parent, coalesce(label, '') AS label FROM cat")
+def old2new_phylo(spark, sf_dir):
+    return O.unsigned_ids(O.signed_ids(cat(spark, sf_dir))).select("tree_id", "node", F.coalesce("parent", F.lit(0)).alias("parent"), F.coalesce("label", F.lit("")).alias("label"))
+
+
+@query(V.with_views("weeks") + "SELECT tree_id, CAST(6 AS BIGINT) AS node, 2.0::DOUBLE AS age_min, 3.0::DOUBLE AS age_max, true AS soft_bounds FROM weeks")
+def make_chronos_calib(spark, sf_dir):
+    return O.calibrations(cat(spark, sf_dir), age_min=2.0, age_max=3.0, soft=True)
+
+
+@query(CAT + "SELECT tree_id, node, CAST(CASE WHEN node <= 4 THEN 2 * node - 1 WHEN node = 5 THEN 8 ELSE 2 * (node - 6) END AS BIGINT) AS rank FROM cat WHERE node <> 6")
+def reorder_evonet(spark, sf_dir):
+    nodes, _ = N.network(N.network_nodes(*_network(spark, sf_dir)))
+    return E.edge_ranks(nodes)
+
+
+NEXUS_CODES = "CASE base " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in Q.BASE_CODES.items()) + " ELSE 0 END"
+
+
+@query(CALENDAR + f"SELECT CAST(label AS VARCHAR) AS label, string_agg(CAST({NEXUS_CODES} AS VARCHAR), ' ' ORDER BY pos) AS codes FROM sites GROUP BY label")
+def nexus2dnabin(spark, sf_dir):
+    texts = W.alignment_documents(calendar(spark, sf_dir).withColumn("alignment", F.lit("all")), "nexus")
+    return Q.to_codes(R.sequences_of(texts, "nexus").drop("file")).select("label", F.array_join(F.transform("codes", lambda c: c.cast("string")), " ").alias("codes"))
+
+
+@query(SEQS + "SELECT 'fasta' AS kind, CAST(1 AS BIGINT) AS folders, CAST(sum(length(label) + length(seq) + 3) AS BIGINT) AS bytes FROM seqs")
+def bydir(spark, sf_dir):
+    path = shared_folder(spark)
+    W.write_fasta(calendar(spark, sf_dir), path + "/whole")
+    found = O.files_by_folder(R.find_files(spark, path, extra={"fasta": "txt"}))
+    return found.groupBy("kind").agg(F.countDistinct("folder").alias("folders"), F.sum("bytes").alias("bytes"))

@@ -217,9 +217,11 @@ def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
     ).orderBy("f").drop("f")
 
 
-def find_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, bytes) of files of known kinds below a folder."""
+def find_files(spark: SparkSession, path: str, extra: dict[str, str] | None = None) -> DataFrame:
+    """(path, kind, bytes) of files of known kinds below a folder; ``extra`` adds file extensions (joined by |) by kind."""
     kinds = {"clustal": "aln", "fasta": "fas|fasta|fa", "fastq": "fq|fastq", "newick": "nwk|newick|tre|tree", "nexus": "nex|nexus", "phylip": "phy", "gff": "gff[23]?", "features": "tbl"}
+    for kind, endings in (extra or {}).items():
+        kinds[kind] = f"{kinds[kind]}|{endings}" if kind in kinds else endings
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
     kind = F.coalesce(*[F.when(F.lower("path").rlike(rf"\.({p})(\.gz)?$"), k) for k, p in kinds.items()])
     return files.select("path", kind.alias("kind"), "bytes").where("kind is not null")
