@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions.phylo import Phylo
 from sylva.operators.comparative import rows_per_tree
+from sylva.operators.pairs import pairs_below
 from sylva.operators.tree_tables import with_children
 
 
@@ -62,7 +63,7 @@ def are_compatible(masks: DataFrame, n: int) -> DataFrame:
     """(a, b, compatible) for pairs of masks a < b over n tips: one of the four intersections is empty."""
     full = (1 << n) - 1
     a, b = masks.select(F.col("mask").alias("a")), masks.select(F.col("mask").alias("b"))
-    both = a.join(b, F.col("a") < F.col("b"))
+    both = pairs_below(a, b, "a", "b")
     parts = [F.col("a").bitwiseAND(F.col("b")), F.col("a").bitwiseAND(F.lit(full).bitwiseXOR(F.col("b"))), F.col("b").bitwiseAND(F.lit(full).bitwiseXOR(F.col("a"))), F.lit(full).bitwiseXOR(F.col("a").bitwiseOR(F.col("b")))]
     ok = parts[0] == 0
     for p in parts[1:]:
@@ -78,7 +79,7 @@ def topology_distance(splits: DataFrame, trees: DataFrame) -> DataFrame:
     m = trees.select("tree_id").distinct().join(splits.groupBy("tree_id").agg(F.count("*").alias("m")), "tree_id", "left").select("tree_id", F.coalesce("m", F.lit(0)).alias("m"))
     a, b = splits.select(F.col("tree_id").alias("t1"), "split"), splits.select(F.col("tree_id").alias("t2"), "split")
     shared = a.join(b, "split").where("t1 < t2").groupBy("t1", "t2").agg(F.count("*").alias("s"))
-    pairs = m.toDF("t1", "m1").join(m.toDF("t2", "m2"), F.col("t1") < F.col("t2"))
+    pairs = pairs_below(m.toDF("t1", "m1"), m.toDF("t2", "m2"), "t1", "t2")
     return pairs.join(shared, ["t1", "t2"], "left").select("t1", "t2", (F.col("m1") + F.col("m2") - 2 * F.coalesce("s", F.lit(0))).alias("d"))
 
 
@@ -90,7 +91,7 @@ def branch_score(splits: DataFrame, trees: DataFrame) -> DataFrame:
     sq = trees.select("tree_id").distinct().join(splits.groupBy("tree_id").agg(F.sum(F.col("length") * F.col("length")).alias("q")), "tree_id", "left").select("tree_id", F.coalesce("q", F.lit(0.0)).alias("q"))
     a, b = splits.select(F.col("tree_id").alias("t1"), "split", F.col("length").alias("l1")), splits.select(F.col("tree_id").alias("t2"), "split", F.col("length").alias("l2"))
     shared = a.join(b, "split").where("t1 < t2").groupBy("t1", "t2").agg(F.sum(F.col("l1") * F.col("l2")).alias("p"))
-    pairs = sq.toDF("t1", "q1").join(sq.toDF("t2", "q2"), F.col("t1") < F.col("t2"))
+    pairs = pairs_below(sq.toDF("t1", "q1"), sq.toDF("t2", "q2"), "t1", "t2")
     total = F.col("q1") + F.col("q2") - 2 * F.coalesce("p", F.lit(0.0))
     return pairs.join(shared, ["t1", "t2"], "left").select("t1", "t2", F.sqrt(F.greatest(total, F.lit(0.0))).alias("d"))
 

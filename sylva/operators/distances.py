@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylva.operators.pairs import pairs_below
+
 WORD = 60
 BASES = "acgt"
 MODELS = ("raw", "n", "ts", "tv", "jc69", "k80", "f81", "k81", "f84", "t92", "tn93", "logdet", "bh87", "paralin", "indel")
@@ -39,14 +41,14 @@ def masks(seqs: DataFrame, pairwise_deletion: bool = False) -> DataFrame:
 def joint_counts(seqs: DataFrame, pairwise_deletion: bool = False) -> DataFrame:
     """(i, j, f_aa, f_ac, ... f_tt) for all pairs of labels i < j."""
     m = masks(seqs, pairwise_deletion)
-    a, b = m.alias("a"), m.alias("b")
-    pairs = a.join(b, F.col("a.label") < F.col("b.label"))
+    a, b = (m.toDF(key, *[f"{end}_{x}" for x in BASES]) for key, end in (("i", "a"), ("j", "b")))
+    pairs = pairs_below(a, b, "i", "j")
 
     def both(x: str, y: str) -> Column:
-        words = F.zip_with(F.col(f"a.m_{x}"), F.col(f"b.m_{y}"), lambda p, q: F.bit_count(p.bitwiseAND(q)))
+        words = F.zip_with(f"a_{x}", f"b_{y}", lambda p, q: F.bit_count(p.bitwiseAND(q)))
         return F.aggregate(words, F.lit(0), lambda s, v: s + v).cast("long").alias(f"f_{x}{y}")
 
-    return pairs.select(F.col("a.label").alias("i"), F.col("b.label").alias("j"), *[both(x, y) for x in BASES for y in BASES])
+    return pairs.select("i", "j", *[both(x, y) for x in BASES for y in BASES])
 
 
 def _ln(x: str) -> str:
@@ -186,7 +188,7 @@ def dist_indel(seqs: DataFrame) -> DataFrame:
     m = seqs.select("label", F.transform(words, lambda w: F.conv(F.substring(bits, w * WORD + 1, F.lit(WORD)), 2, 10).cast("long")).alias("m"))
     a, b = m.toDF("i", "a"), m.toDF("j", "b")
     d = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v).cast("long")
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", d.alias("d"))
+    return pairs_below(a, b, "i", "j").select("i", "j", d.alias("d"))
 
 
 def dist_indel_blocks(seqs: DataFrame) -> DataFrame:
@@ -199,7 +201,7 @@ def dist_indel_blocks(seqs: DataFrame) -> DataFrame:
     a, b = m.toDF("i", "a"), m.toDF("j", "b")
     keys = F.array_union(F.map_keys("a"), F.map_keys("b"))
     d = F.size(F.filter(keys, lambda k: F.coalesce(F.element_at("a", k), F.lit(0)) != F.coalesce(F.element_at("b", k), F.lit(0)))).cast("long")
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", d.alias("d"))
+    return pairs_below(a, b, "i", "j").select("i", "j", d.alias("d"))
 
 
 def ftab(seqs: DataFrame) -> DataFrame:
@@ -220,7 +222,7 @@ def dist_aa(seqs: DataFrame, pairwise_deletion: bool = True, scaled: bool = Fals
     both = F.zip_with("a", "b", lambda x, y: F.when((x == "X") | (y == "X"), F.lit(None)).otherwise((x != y).cast("int")))
     n = F.aggregate(both, F.lit(0), lambda acc, v: acc + F.coalesce(v, F.lit(0)))
     known = F.size(F.filter(both, lambda v: v.isNotNull()))
-    pairs = a.join(b, F.col("i") < F.col("j"))
+    pairs = pairs_below(a, b, "i", "j")
     return pairs.select("i", "j", (n / F.nullif(known, F.lit(0)) if scaled else n.cast("long")).alias("d"))
 
 
@@ -230,4 +232,4 @@ def dist_gene(loci: DataFrame, percentage: bool = False) -> DataFrame:
     both = F.zip_with("a", "b", lambda x, y: (x != y).cast("int"))
     n = F.aggregate(both, F.lit(0), lambda acc, v: acc + F.coalesce(v, F.lit(0))).cast("long")
     known = F.size(F.filter(both, lambda v: v.isNotNull()))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", (n / F.nullif(known, F.lit(0)) if percentage else n).alias("d"))
+    return pairs_below(a, b, "i", "j").select("i", "j", (n / F.nullif(known, F.lit(0)) if percentage else n).alias("d"))

@@ -14,6 +14,10 @@ from sylva.operators.inference import BUILDERS
 from sylva.operators.sequences import codon_map
 
 
+#: Letters of an alignment that each task of a bootstrap holds.
+MOST_BASES = 100_000_000
+
+
 def simple_distances(x: np.ndarray, model: str = "raw") -> np.ndarray:
     """Distances between the rows of an array of base codes; sites unknown (-1) in either row are left out."""
     n = len(x)
@@ -36,9 +40,12 @@ def codes_of(seqs: list[str]) -> np.ndarray:
 def bootstrap_trees(seqs: DataFrame, n: int = 100, method: str = "nj", model: str = "raw", block: int = 1, seed: int = 1) -> DataFrame:
     """(replicate, newick): trees of alignments with resampled blocks of sites; replicate 0 is the alignment itself.
 
-    Replicate ids are rows, spread over tasks; the alignment is held by each task.
+    Replicate ids are rows, spread over tasks; the alignment is held by each task, so it has ``MOST_BASES`` letters at most.
     """
     spark = seqs.sparkSession
+    size = seqs.agg(F.sum(F.length("seq"))).first()[0] or 0
+    if size > MOST_BASES:
+        raise ValueError(f"an alignment of {size} letters is more than a task can hold whole ({MOST_BASES})")
     rows = sorted((str(r.label), r.seq) for r in seqs.select("label", "seq").toLocalIterator())
     held = spark.sparkContext.broadcast((codes_of([s for _, s in rows]), [x for x, _ in rows]))
 

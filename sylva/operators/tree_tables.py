@@ -10,23 +10,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, computed once: a checkpoint where the session has a folder for these, which cuts its lineage, else a cache."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    out = df.cache()
+    out.count()
+    return out
+
+
 def closure(nodes: DataFrame) -> DataFrame:
     """(tree_id, node, ancestor, hops, dist) for every node and each of its ancestors, itself included.
 
     Doubles the reach with every step: paths of up to 2^k edges are put together from two shorter ones.
     """
-    own = nodes.select("tree_id", "node", F.col("node").alias("ancestor"), F.lit(0).alias("hops"), F.lit(0.0).alias("dist"))
-    jump = nodes.where("parent is not null").select("tree_id", "node", F.col("parent").alias("ancestor"), F.lit(1).alias("hops"), F.coalesce("length", F.lit(0.0)).alias("dist"))
-    reach = own
-    jump = jump.cache()
+    reach = nodes.select("tree_id", "node", F.col("node").alias("ancestor"), F.lit(0).alias("hops"), F.lit(0.0).alias("dist"))
+    jump = settled(nodes.where("parent is not null").select("tree_id", "node", F.col("parent").alias("ancestor"), F.lit(1).alias("hops"), F.coalesce("length", F.lit(0.0)).alias("dist")))
     while not jump.isEmpty():
-        a, b = jump.alias("a"), reach.alias("b")
-        on = (F.col("a.tree_id") == F.col("b.tree_id")) & (F.col("a.ancestor") == F.col("b.node"))
-        further = a.join(b, on).select("a.tree_id", "a.node", "b.ancestor", (F.col("a.hops") + F.col("b.hops")).alias("hops"), (F.col("a.dist") + F.col("b.dist")).alias("dist"))
-        reach = reach.unionByName(further).cache()
-        c = jump.alias("c")
-        on = (F.col("a.tree_id") == F.col("c.tree_id")) & (F.col("a.ancestor") == F.col("c.node"))
-        jump = a.join(c, on).select("a.tree_id", "a.node", "c.ancestor", (F.col("a.hops") + F.col("c.hops")).alias("hops"), (F.col("a.dist") + F.col("c.dist")).alias("dist")).cache()
+        a = jump.alias("a")
+
+        def beyond(paths: DataFrame, a: DataFrame = a) -> DataFrame:
+            met = a.join(paths.alias("b"), (F.col("a.tree_id") == F.col("b.tree_id")) & (F.col("a.ancestor") == F.col("b.node")))
+            return met.select("a.tree_id", "a.node", "b.ancestor", (F.col("a.hops") + F.col("b.hops")).alias("hops"), (F.col("a.dist") + F.col("b.dist")).alias("dist"))
+
+        further, longer = settled(reach.unionByName(beyond(reach))), settled(beyond(jump))
+        reach.unpersist()
+        jump.unpersist()
+        reach, jump = further, longer
     return reach
 
 
@@ -44,12 +54,12 @@ def root_paths(nodes: DataFrame, reach: DataFrame | None = None) -> DataFrame:
     """
     if reach is None:
         up = F.col("parent").isNotNull()
-        held = nodes.select("tree_id", "node", F.col("parent").alias("jump"), up.cast("int").alias("level"), F.when(up, F.coalesce("length", F.lit(0.0))).otherwise(0.0).alias("depth")).cache()
+        held = nodes.select("tree_id", "node", F.col("parent").alias("jump"), up.cast("int").alias("level"), F.when(up, F.coalesce("length", F.lit(0.0))).otherwise(0.0).alias("depth"))
+        held = settled(held)
         while not held.where("jump is not null").isEmpty():
             above = held.select("tree_id", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("level").alias("more"), F.col("depth").alias("further"))
             met = held.join(above, ["tree_id", "jump"], "left")
-            step = met.select("tree_id", "node", F.col("next").alias("jump"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), (F.col("depth") + F.coalesce("further", F.lit(0.0))).alias("depth")).cache()
-            step.count()
+            step = settled(met.select("tree_id", "node", F.col("next").alias("jump"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), (F.col("depth") + F.coalesce("further", F.lit(0.0))).alias("depth")))
             held.unpersist()
             held = step
         return held.select("tree_id", "node", "level", "depth")

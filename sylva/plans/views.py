@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sylva.operators.pairs import pairs_below
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -108,7 +110,7 @@ def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     a, b = v.toDF("i", "a"), v.toDF("j", "b")
     d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return a.join(b, F.col("i") < F.col("j")).select(F.lit(1).cast("long").alias("matrix_id"), "i", "j", d.alias("d"))
+    return pairs_below(a, b, "i", "j").select(F.lit(1).cast("long").alias("matrix_id"), "i", "j", d.alias("d"))
 
 
 def user_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Edits of trees and forms of sequences where the queries with SQL do not reach: errors, other paths to the same result, many trees a batch."""
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from sylva.functions.phylo import parse_newick
 from sylva.operators import clades as C
 from sylva.operators import comparative as K
 from sylva.operators import edits as E
+from sylva.operators import inference as I
+from sylva.operators import pairs as B
 from sylva.operators import seq_types as Q
 from sylva.operators import simulation as M
 from sylva.operators import spatial as P
@@ -100,3 +103,74 @@ def test_contrasts_of_a_known_tree(spark):
     traits = spark.createDataFrame([("Homo", 4.09434), ("Pongo", 3.61092), ("Macaca", 2.37024), ("Ateles", 2.02815), ("Galago", -1.46968)], "label string, x double")
     got = sorted(round(abs(r.contrast), 4) for r in K.pic(nodes, traits).collect())
     assert got == [0.7459, 1.1929, 1.5847, 3.3583]
+
+
+def test_all_pairs_meet_once(spark):
+    a, b = spark.range(37).toDF("i"), spark.range(41).toDF("j")
+    for blocks in (1, 3, 8):
+        got = [tuple(r) for r in B.pairs_below(a, b, "i", "j", blocks).collect()]
+        assert sorted(got) == [(i, j) for i in range(37) for j in range(41) if i < j]
+    assert B.pairs_below(a.limit(0), b, "i", "j").count() == 0
+
+
+def test_what_a_task_holds_is_bounded(spark):
+    d = spark.createDataFrame([(1, 2, 1.0), (1, 3, 2.0), (2, 3, 2.5)], "i long, j long, d double")
+    assert B.held_whole(d, 3, "it").count() == 3
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        B.held_whole(d, 2, "it")
+
+
+def _distances(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 5))
+    rows = [(1, i, j, float(np.sqrt(((x[i] - x[j]) ** 2).sum()))) for i in range(n) for j in range(i + 1, n)]
+    return rows, spark.createDataFrame(rows, "matrix_id long, i long, j long, d double")
+
+
+def test_spanning_tree_matches_brute_force(spark):
+    rows, d = _distances(spark, 40, 3)
+    parent = list(range(40))
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    want = set()
+    for _, i, j, x in sorted(rows, key=lambda r: r[3]):
+        if find(i) != find(j):
+            parent[find(i)] = find(j)
+            want.add((i, j))
+    assert {(min(r.i, r.j), max(r.i, r.j)) for r in I.spanning_trees(d).collect()} == want
+
+
+def test_neighbour_joining_matches_a_plain_one(spark):
+    """Path lengths between the tips of the tree, against the textbook's steps on dictionaries."""
+    rows, table = _distances(spark, 14, 4)
+    d = {}
+    for _, i, j, x in rows:
+        d[i, j] = d[j, i] = x
+    edges, alive, new = [], list(range(14)), 14
+    while len(alive) > 3:
+        total = {a: sum(d[a, b] for b in alive if b != a) for a in alive}
+        n = len(alive)
+        i, j = min(((a, b) for a in alive for b in alive if a < b), key=lambda p: (n - 2) * d[p] - total[p[0]] - total[p[1]])
+        li = d[i, j] / 2 + (total[i] - total[j]) / (2 * (n - 2))
+        edges += [(new, i, li), (new, j, d[i, j] - li)]
+        for k in alive:
+            if k not in (i, j):
+                d[new, k] = d[k, new] = (d[i, k] + d[j, k] - d[i, j]) / 2
+        alive = [k for k in alive if k not in (i, j)] + [new]
+        new += 1
+    a, b, c = alive
+    edges += [(new, a, (d[a, b] + d[a, c] - d[b, c]) / 2), (new, b, (d[a, b] + d[b, c] - d[a, c]) / 2), (new, c, (d[a, c] + d[b, c] - d[a, b]) / 2)]
+    far = np.full((new + 1, new + 1), np.inf)
+    np.fill_diagonal(far, 0)
+    for u, v, x in edges:
+        far[u, v] = far[v, u] = x
+    for k in range(new + 1):
+        far = np.minimum(far, far[:, [k]] + far[[k], :])
+    tree = parse_newick(I.trees_from_distances(table, "nj").first().newick)[1]
+    at = {int(tree.label[v]): v for v in tree.tips()}
+    got = tree.patristic()
+    assert all(abs(got[at[i], at[j]] - far[i, j]) < 1e-6 for i in range(14) for j in range(i))
