@@ -5,6 +5,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from sylva.operators import topology_counts as N
+from sylva.operators import tree_tables as T
 from sylva.sources import writers as W
 
 
@@ -33,3 +34,14 @@ def test_trees_stay_whole_above_a_union(spark, tmp_path):
         texts = W.to_newick(N.network_nodes(nodes, links)).collect()
     assert sorted(r.tree_id for r in texts) == list(range(3000))
     assert len({r.newick for r in texts}) == 1
+
+
+def star(spark, n):
+    return spark.range(n + 1).select(F.lit(1).cast("long").alias("tree_id"), F.col("id").alias("node"), F.when(F.col("id") > 0, F.lit(0).cast("long")).alias("parent"), F.when(F.col("id") > 0, F.lit(1.0)).alias("length"), F.col("id").cast("string").alias("label"))
+
+
+def test_tips_of_one_ancestor_meet_in_several_places(spark):
+    out = T.tip_pairs(star(spark, 30))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "__p" in plan and "__q" in plan
+    assert sorted((r.a, r.b, r.mrca, r.shared, r.dist) for r in out.collect()) == [(a, b, 0, 0.0, 2.0) for a in range(1, 31) for b in range(a + 1, 31)]
