@@ -45,3 +45,10 @@ def test_tips_of_one_ancestor_meet_in_several_places(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "__p" in plan and "__q" in plan
     assert sorted((r.a, r.b, r.mrca, r.shared, r.dist) for r in out.collect()) == [(a, b, 0, 0.0, 2.0) for a in range(1, 31) for b in range(a + 1, 31)]
+
+
+def test_path_lengths_do_not_shuffle_the_pairs(spark):
+    out = T.cophenetic(star(spark, 12))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "__p" in plan.split("SortMergeJoin")[1]  # the topmost join is that of the blocks
+    assert sorted((r.a, r.b, r.dist) for r in out.collect()) == [(a, b, 2.0) for a in range(1, 13) for b in range(a + 1, 13)]
