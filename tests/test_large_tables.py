@@ -4,6 +4,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from sylva.operators import clades as C
 from sylva.operators import topology_counts as N
 from sylva.operators import tree_tables as T
 from sylva.sources import writers as W
@@ -52,3 +53,11 @@ def test_path_lengths_do_not_shuffle_the_pairs(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "__p" in plan.split("SortMergeJoin")[1]  # the topmost join is that of the blocks
     assert sorted((r.a, r.b, r.dist) for r in out.collect()) == [(a, b, 2.0) for a in range(1, 13) for b in range(a + 1, 13)]
+
+
+def test_pairs_of_trees_look_up_the_distance_of_their_topologies(spark):
+    trees = spark.createDataFrame([(k,) for k in range(7)], "tree_id long")  # 0 is a star; two topologies share one split
+    splits = spark.createDataFrame([(k, s) for k in range(1, 7) for s in (["b", "c"], ["d", "e"] if k % 2 else ["a", "b"])], "tree_id long, split array<string>")
+    out = C.topology_distance(splits, trees)
+    assert "BroadcastHashJoin [r1" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.t1, r.t2, r.d) for r in out.collect()) == [(a, b, 2 if a == 0 else 2 * ((a + b) % 2)) for a in range(7) for b in range(a + 1, 7)]
