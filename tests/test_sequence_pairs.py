@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sylva.operators import distances as D
 
-MODELS = ["jc69", "tn93", "f81", "f84", "k80", "k81", "ts", "raw"]
+MODELS = ["jc69", "tn93", "f81", "f84", "k80", "k81", "ts", "raw", "logdet"]
 
 
 @pytest.mark.parametrize("model", MODELS)
