@@ -28,7 +28,7 @@ def test_distances_by_blocks(spark, model):
         assert all((got[k] is None) == (want[k] is None) and abs((got[k] or 0) - (want[k] or 0)) < 2e-6 for k in want)
 
 
-@pytest.mark.parametrize("model", ["k80", "f81", "f84", "k81", "tn93", "ts"])
+@pytest.mark.parametrize("model", ["f81", "f84", "k80", "k81", "tn93", "ts", "logdet"])
 def test_pairs_are_made_batch_by_batch(spark, model):
     table = spark.createDataFrame([(k, "acgtacgtaacc"[k:] + "acgtacgtaacc"[:k]) for k in range(12)], "label long, seq string")
     plan = D.dist_dna(table, model, pairwise_deletion=True, digits=6)._jdf.queryExecution().executedPlan().toString()
